@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import asof, delivery, incremental, references, replay
-from tidelog.plans.common import DML, counting_messages, scratch, table
+from tidelog.operators import asof, delivery, drift, incremental, references, replay
+from tidelog.plans.common import DML, counting_messages, materialize, scratch, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("log_offset", F.col("known_revision").alias("revision_id"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.field_changes(table(spark, sf_dir, "capture_rows"), materialize).select("table_id", "log_offset", "field", "change")
+
+
+def p5_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = table(spark, sf_dir, "capture_rows")
+    values = drift.consistent_values(captures, drift.field_changes(captures, materialize), materialize)
+    return values.groupBy("table_id", "name", "kind").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("cast_failed").alias("n_failed"))
+
+
+def p5_registry_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.registry_differences(table(spark, sf_dir, "capture_rows"), table(spark, sf_dir, "column_defs"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = dml_messages(spark, sf_dir, ["table_meta_id"])
     return references.orphan_references(refs, table(spark, sf_dir, "table_meta")).select("log_offset")
@@ -49,7 +63,7 @@ def p6_orphans_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_counts(refs, table(spark, sf_dir, "table_meta"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermarked, p2_found, p3_found, p4_found, p6_found, p6_orphans_by_day)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermarked, p2_found, p3_found, p4_found, p5_found, p5_failed_casts, p5_registry_differences, p6_found, p6_orphans_by_day)}
 
 _MESSAGES = "with msg as (select log_offset, arg_min({'txn_id': txn_id, 'rec_type': rec_type, 'table_meta_id': table_meta_id, 'row_key': row_key, 'old_key': old_key, 'ts': ts}, delivery_id) as m from change_records where log_offset is not null group by log_offset), message as (select log_offset, m.txn_id, m.rec_type, m.table_meta_id, m.row_key, m.old_key, m.ts from msg)"
 
@@ -92,3 +106,21 @@ select log_offset, revision_id from held where revision_id is distinct from rest
     "p6_found": _ORPHANS.format(messages=_MESSAGES, select="select log_offset from orphans"),
     "p6_orphans_by_day": _ORPHANS.format(messages=_MESSAGES, select="select table_meta_id >> 16 as table_id, ts::date as day, count(*) as n_orphans, count(distinct table_meta_id) as n_keys from orphans group by all"),
 }
+
+SQL["p5_found"] = """with ok as (select table_meta_id >> 16 as t, log_offset as o, row_key, file_id, row_no, payload from capture_rows where rec_type in (0, 1, 2, 3) and log_offset is not null and json_valid(payload) and json_type(payload) = 'OBJECT'),
+cell as (select t, o, row_key, file_id, row_no, j.key as f, case j.type when 'VARCHAR' then 'text' when 'BOOLEAN' then 'flag' when 'ARRAY' then 'list' when 'OBJECT' then 'object' when 'DOUBLE' then 'fraction' else 'whole' end as kind,
+    case when j.type = 'VARCHAR' then j.value ->> '$' else j.value::varchar end as x from ok, json_each(ok.payload) j where j.type <> 'NULL'),
+stat as (select t, o, f, arg_max(kind, (n, kind)) as kind from (select t, o, f, kind, count(*) as n from cell group by all) group by t, o, f),
+file as (select t, o, lead(o) over (partition by t order by o) as nxt, row_number() over (partition by t order by o) as k from (select distinct t, o from cell)),
+now as (select s.t, s.o as at, s.f, s.kind from stat s join file on file.t = s.t and file.o = s.o where k > 1),
+was as (select s.t, nxt as at, s.f, s.kind, s.o from stat s join file on file.t = s.t and file.o = s.o where nxt is not null),
+added as (select n.* from now n where not exists (select 1 from was w where w.t = n.t and w.at = n.at and w.f = n.f)),
+removed as (select w.* from was w where not exists (select 1 from now n where w.t = n.t and w.at = n.at and w.f = n.f)),
+one as (select t, o, row_key, f, arg_max(x, (file_id, row_no)) as x from cell where row_key is not null group by all),
+pair as (select a.t, a.at, a.f, r.f as old, a.kind, r.kind as old_kind, count(*) as both_, count(*) filter (x.x = y.x) as same from added a join removed r on a.t = r.t and a.at = r.at join one x on x.t = a.t and x.o = a.at and x.f = a.f join one y on y.t = r.t and y.o = r.o and y.f = r.f and y.row_key = x.row_key group by all having same * 2 > both_),
+ren as (select * from pair qualify row_number() over (partition by t, at, f order by same / both_ desc, same desc, old) = 1 and row_number() over (partition by t, at, old order by same / both_ desc, same desc, f) = 1)
+select t as table_id, at as log_offset, f as field, 'added' as change from added a where not exists (select 1 from ren where ren.t = a.t and ren.at = a.at and ren.f = a.f)
+union all select t, at, f, 'removed' from removed a where not exists (select 1 from ren where ren.t = a.t and ren.at = a.at and ren.old = a.f)
+union all select t, at, f, 'renamed' from ren
+union all select t, at, f, 'retyped' from ren where kind <> old_kind
+union all select n.t, n.at, n.f, 'retyped' from now n join was w on w.t = n.t and w.at = n.at and w.f = n.f where w.kind <> n.kind"""
