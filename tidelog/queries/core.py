@@ -112,15 +112,15 @@ cell as (select t, o, row_key, file_id, row_no, j.key as f, case j.type when 'VA
     case when j.type = 'VARCHAR' then j.value ->> '$' else j.value::varchar end as x from ok, json_each(ok.payload) j where j.type <> 'NULL'),
 stat as (select t, o, f, arg_max(kind, (n, kind)) as kind from (select t, o, f, kind, count(*) as n from cell group by all) group by t, o, f),
 file as (select t, o, lead(o) over (partition by t order by o) as nxt, row_number() over (partition by t order by o) as k from (select distinct t, o from cell)),
-now as (select s.t, s.o as at, s.f, s.kind from stat s join file on file.t = s.t and file.o = s.o where k > 1),
-was as (select s.t, nxt as at, s.f, s.kind, s.o from stat s join file on file.t = s.t and file.o = s.o where nxt is not null),
-added as (select n.* from now n where not exists (select 1 from was w where w.t = n.t and w.at = n.at and w.f = n.f)),
-removed as (select w.* from was w where not exists (select 1 from now n where w.t = n.t and w.at = n.at and w.f = n.f)),
+now as (select s.t, s.o as pos, s.f, s.kind from stat s join file on file.t = s.t and file.o = s.o where k > 1),
+was as (select s.t, nxt as pos, s.f, s.kind, s.o from stat s join file on file.t = s.t and file.o = s.o where nxt is not null),
+added as (select n.* from now n where not exists (select 1 from was w where w.t = n.t and w.pos = n.pos and w.f = n.f)),
+removed as (select w.* from was w where not exists (select 1 from now n where w.t = n.t and w.pos = n.pos and w.f = n.f)),
 one as (select t, o, row_key, f, arg_max(x, (file_id, row_no)) as x from cell where row_key is not null group by all),
-pair as (select a.t, a.at, a.f, r.f as old, a.kind, r.kind as old_kind, count(*) as both_, count(*) filter (x.x = y.x) as same from added a join removed r on a.t = r.t and a.at = r.at join one x on x.t = a.t and x.o = a.at and x.f = a.f join one y on y.t = r.t and y.o = r.o and y.f = r.f and y.row_key = x.row_key group by all having same * 2 > both_),
-ren as (select * from pair qualify row_number() over (partition by t, at, f order by same / both_ desc, same desc, old) = 1 and row_number() over (partition by t, at, old order by same / both_ desc, same desc, f) = 1)
-select t as table_id, at as log_offset, f as field, 'added' as change from added a where not exists (select 1 from ren where ren.t = a.t and ren.at = a.at and ren.f = a.f)
-union all select t, at, f, 'removed' from removed a where not exists (select 1 from ren where ren.t = a.t and ren.at = a.at and ren.old = a.f)
-union all select t, at, f, 'renamed' from ren
-union all select t, at, f, 'retyped' from ren where kind <> old_kind
-union all select n.t, n.at, n.f, 'retyped' from now n join was w on w.t = n.t and w.at = n.at and w.f = n.f where w.kind <> n.kind"""
+pair as (select a.t, a.pos, a.f, r.f as old, a.kind, r.kind as old_kind, count(*) as both_, count(*) filter (x.x = y.x) as same from added a join removed r on a.t = r.t and a.pos = r.pos join one x on x.t = a.t and x.o = a.pos and x.f = a.f join one y on y.t = r.t and y.o = r.o and y.f = r.f and y.row_key = x.row_key group by all having same * 2 > both_),
+ren as (select * from pair qualify row_number() over (partition by t, pos, f order by same / both_ desc, same desc, old) = 1 and row_number() over (partition by t, pos, old order by same / both_ desc, same desc, f) = 1)
+select t as table_id, pos as log_offset, f as field, 'added' as change from added a where not exists (select 1 from ren where ren.t = a.t and ren.pos = a.pos and ren.f = a.f)
+union all select t, pos, f, 'removed' from removed a where not exists (select 1 from ren where ren.t = a.t and ren.pos = a.pos and ren.old = a.f)
+union all select t, pos, f, 'renamed' from ren
+union all select t, pos, f, 'retyped' from ren where kind <> old_kind
+union all select n.t, n.pos, n.f, 'retyped' from now n join was w on w.t = n.t and w.pos = n.pos and w.f = n.f where w.kind <> n.kind"""
