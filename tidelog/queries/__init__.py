@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core", "shell")
+MODULES = ("core", "shell", "log")
 
 
 def _all(what: str) -> dict:
