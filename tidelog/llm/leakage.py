@@ -93,10 +93,11 @@ def _sketch(batches, idf: np.ndarray, omega: np.ndarray, width: int):
     yield pa.RecordBatch.from_arrays(columns, ["term", *(f"c{k}" for k in range(total.shape[1]))])
 
 
-def stretch(item: list[int], region: list[int]) -> tuple[int, int, int]:
+def stretch(item: list[int], region: list[int], widest: bool = False) -> tuple[int, int, int]:
     """The best stretch of ``item`` in ``region``: (words of the item it spans, altered words in it, start in the region).
 
     A local alignment: a word in common counts 1, one replaced, left out or put in -2, which keeps a stretch growing while fewer than a third is altered.
+    Of stretches that count alike the one with fewer altered words is taken, or the ``widest``.
     """
     n = len(item)
     best = (0, 0, 0, 0)
@@ -114,10 +115,10 @@ def stretch(item: list[int], region: list[int]) -> tuple[int, int, int]:
                     s, t = before[i] - 2, (old[i][0], old[i][1] + 1, old[i][2])
                 if score[i - 1] - 2 > s:
                     s, t = score[i - 1] - 2, (trace[i - 1][0], trace[i - 1][1] + 1, trace[i - 1][2])
-            if s <= 0:
+            if s < 0 or (s == 0 and not widest):
                 s, t = 0, (i, 0, at + 1)
             score[i], trace[i] = s, t
-            if s > best[0]:
+            if s > best[0] or (widest and s == best[0] and i - t[0] > best[1]):
                 best = (s, i - t[0], t[1], t[2])
     return best[1:]
 
@@ -212,9 +213,12 @@ def _check(item: list[int], pairs: set, ids: np.ndarray, ats: list[int], s: Sett
         region = ids[lo:hi].tolist()
         if sum(p in pairs for p in zip(region, region[1:], strict=False)) < whole:
             continue
-        span, altered, at = stretch(item, region)
-        if span >= least and altered <= s.altered * span + 0.5 and (best is None or span / n > best[0]):
-            best = (span / n, altered, lo + at)
+        for widest in (False, True):
+            span, altered, at = stretch(item, region, widest)
+            if span >= least and altered <= s.altered * span + 0.5:
+                if best is None or span / n > best[0]:
+                    best = (span / n, altered, lo + at)
+                break
     return best
 
 
