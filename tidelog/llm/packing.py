@@ -130,6 +130,9 @@ def pack(counts: DataFrame, capacity: int, between: int, group_items: int = GROU
     place = F.struct("doc_id", "tokens")
     # repeated ids are spread as well
     grouped = rows.select("doc_id", "tokens", F.pmod(F.xxhash64(place), F.lit(n_groups)).alias("grp"))
+    # a few bytes a document, but much work: a number of tasks of its own, which isn't coalesced by size
+    tasks = min(n_groups, max(2 * counts.sparkSession.sparkContext.defaultParallelism, n_groups // 64))
+    grouped = grouped.repartition(tasks, "grp")
     schema = "grp bigint, doc_id bigint, piece bigint, n_pieces bigint, tokens bigint, container bigint"
     return grouped.groupBy("grp").applyInArrow(lambda t: _pack(t, capacity, between), schema)
 
