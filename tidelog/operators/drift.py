@@ -53,15 +53,16 @@ def _following(stats: DataFrame) -> DataFrame:
     return stats.select(*_FILE).distinct().withColumn("next", F.lead("log_offset").over(order)).withColumn("first", F.row_number().over(order) == 1)
 
 
-def _renames(values: DataFrame, added: DataFrame, removed: DataFrame, following: DataFrame) -> DataFrame:
+def _renames(values: DataFrame, added: DataFrame, removed: DataFrame, following: DataFrame, materialize) -> DataFrame:
     """Pairs of a new and a vanished field that hold the same text for most row keys filled in both: table_id, at, field, old_field."""
-    one = lambda rows: rows.groupBy("table_id", "at", "row_key", "field").agg(F.max(F.struct("file_id", "row_no", "text"))["text"].alias("text"))
-    keyed = values.filter(F.col("row_key").isNotNull())
     both = added.select("table_id", "at").intersect(removed.select("table_id", "at"))
-    new = keyed.withColumnRenamed("log_offset", "at").join(added.join(both, ["table_id", "at"], "left_semi"), ["table_id", "at", "field"], "left_semi")
     ahead = following.filter(F.col("next").isNotNull()).select(*_FILE, F.col("next").alias("at"))
-    old = keyed.join(removed.join(both, ["table_id", "at"], "left_semi").join(ahead, ["table_id", "at"]), ["table_id", "log_offset", "field"])
-    new, old = one(new), one(old).withColumnRenamed("field", "old_field")
+    roles = added.withColumn("log_offset", F.col("at")).withColumn("is_new", F.lit(True)).unionByName(removed.join(ahead, ["table_id", "at"]).withColumn("is_new", F.lit(False)))
+    roles = roles.join(both, ["table_id", "at"], "left_semi")
+    told = values.filter(F.col("row_key").isNotNull()).join(roles, [*_FILE, "field"])
+    one = told.groupBy("table_id", "at", "row_key", "field", "is_new").agg(F.max(F.struct("file_id", "row_no", "text"))["text"].alias("text"))
+    one = materialize(one, "renamable")
+    new, old = one.filter("is_new").drop("is_new"), one.filter("not is_new").drop("is_new").withColumnRenamed("field", "old_field")
     pair = ["table_id", "at", "field", "old_field"]
     same = new.join(old, ["table_id", "at", "row_key", "text"]).groupBy(*pair).agg(F.count(F.lit(1)).alias("n_same"))
     # only pairs with a value in common are counted further
@@ -89,7 +90,7 @@ def field_changes(captures: DataFrame, materialize=lambda df, name: df) -> DataF
     diff = now.join(before, ["table_id", "at", "field"], "full").filter(~F.col("kind").eqNullSafe(F.col("old_kind")))
     diff = materialize(diff, "differences")
     added, removed = diff.filter(F.col("old_kind").isNull()), diff.filter(F.col("kind").isNull())
-    renames = materialize(_renames(values, added.select("table_id", "at", "field"), removed.select("table_id", "at", "field"), following), "renames")
+    renames = materialize(_renames(values, added.select("table_id", "at", "field"), removed.select("table_id", "at", "field"), following, materialize), "renames")
     renamed = renames.join(added.select("table_id", "at", "field", "kind"), ["table_id", "at", "field"]).join(removed.select("table_id", "at", F.col("field").alias("old_field"), "old_kind"), ["table_id", "at", "old_field"])
     shape = lambda rows, change, old: rows.select("table_id", F.col("at").alias("log_offset"), "field", F.lit(change).alias("change"), old.alias("old_field"), "kind", "old_kind")
     none = F.lit(None).cast("string")

@@ -43,6 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions for every core, for costly work on each row: shuffled only where its files give fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that many and one."""
     return df.limit(rows + 1).count() <= rows
@@ -72,7 +78,3 @@ def counting_messages(changes: DataFrame, columns: list[str], key: str = "log_of
     first = F.min(F.struct(late.alias("_order"), *columns)).alias("_first")
     rows = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(first)
     return rows.select(key, *(F.col(f"_first.{c}").alias(c) for c in columns))
-
-
-def sql_name(*parts: str) -> str:
-    return ".".join(f"`{p}`" for p in parts)

@@ -70,7 +70,8 @@ def stream_count_windows(spark, sf_dir):
 def source_scan(spark, sf_dir):
     """The log source with a range of positions and a type pushed down to it."""
     changelog.register(spark)
-    rows = spark.read.format("tidelog").option("path", f"{sf_dir}/change_records.parquet").option("startingOffset", 35184372088832).load()
+    wanted = "delivery_id bigint, log_offset bigint, rec_type int, row_key string"
+    rows = spark.read.format("tidelog").schema(wanted).option("path", f"{sf_dir}/change_records.parquet").option("startingOffset", 35184372088832).load()
     return rows.filter("log_offset < 387028092977152 and rec_type = 2").select("delivery_id", "log_offset", "row_key")
 
 
@@ -78,7 +79,7 @@ def source_stream(spark, sf_dir):
     """The log source followed as a stream by position."""
     changelog.register(spark)
     root = scratch(spark, "source")
-    rows = spark.readStream.format("tidelog").option("path", f"{sf_dir}/change_records.parquet").load().select("delivery_id", "log_offset", "rec_type")
+    rows = spark.readStream.format("tidelog").schema("delivery_id bigint, log_offset bigint, rec_type int").option("path", f"{sf_dir}/change_records.parquet").load()
     rows.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").trigger(once=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
