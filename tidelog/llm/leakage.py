@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import markup
-from tidelog.plans.common import materialize
+from tidelog.plans.common import materialize, spread
 
 #: Items searched for at once; more are searched block by block.
 BLOCK_ITEMS = 2_000
@@ -264,7 +264,7 @@ def _block(texts: DataFrame, rows: list[tuple], s: Settings) -> DataFrame:
     # an answer of one letter says nothing; words that no item has can't be told apart in the coded texts
     answers = [[index.get(w, -3) for w in answer_of[ws]] if len("".join(answer_of[ws])) > 1 else [] for ws in wordings]
     shared = {**index}
-    numbered = materialize(texts.mapInArrow(lambda b: _tokens(b, shared), "doc_id bigint, ids array<int>"), "words")
+    numbered = materialize(spread(texts).mapInArrow(lambda b: _tokens(b, shared), "doc_id bigint, ids array<int>"), "words")
     n_terms = len(index)
     counted = dict(numbered.mapInArrow(lambda b: _frequencies(b, n_terms, s.passage), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect())
     total = max(1, counted.get(-1, 0))

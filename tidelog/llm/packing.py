@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.plans.common import materialize
+from tidelog.plans.common import materialize, spread
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -41,7 +41,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, ranks: str = "b
     """Tokens of each whole text: doc_id, tokens. Rows with a null id or text are left out; an empty text has none. Repeated ids keep their rows."""
     path = f"{folder}/{ranks}"
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
-    return texts.mapInArrow(lambda b: _count(b, path), "doc_id bigint, tokens bigint")
+    return spread(texts).mapInArrow(lambda b: _count(b, path), "doc_id bigint, tokens bigint")
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

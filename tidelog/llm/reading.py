@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import markup
-from tidelog.plans.common import materialize
+from tidelog.plans.common import materialize, spread
 
 BANDS = 4
 QUANTILES = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
@@ -128,7 +128,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS,
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
     chosen = texts.join(F.broadcast(bands), "doc_id")  # bounded by ``sample``
     band_of = bands.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
-    words = materialize(chosen.mapInArrow(lambda b: _prose(b, least), "doc_id bigint, words array<string>").join(F.broadcast(band_of), "doc_id"), "graded")
+    words = materialize(spread(chosen).mapInArrow(lambda b: _prose(b, least), "doc_id bigint, words array<string>").join(F.broadcast(band_of), "doc_id"), "graded")
     counted = words.select("half", "band", F.explode("words").alias("word")).groupBy("word", "half", "band").agg(F.count(F.lit(1)).alias("n"))
     table = counted.groupBy("word").pivot("half", [0, 1]).agg(*(F.sum(F.when(F.col("band") == b, F.col("n"))).alias(str(b)) for b in range(1, BANDS + 1))).fillna(0).orderBy("word").toPandas()
     if not len(table):
@@ -163,4 +163,4 @@ def reading_levels(documents: DataFrame, labels: DataFrame, least: int = 40, mod
     if model is None:
         return texts.limit(0).select("doc_id", F.lit(0).cast("long").alias("band"))
     shared = texts.sparkSession.sparkContext.broadcast(model)  # its words are those of at most ``sample`` documents
-    return texts.mapInArrow(lambda b: _graded(b, shared.value, least), "doc_id bigint, band bigint")
+    return spread(texts).mapInArrow(lambda b: _graded(b, shared.value, least), "doc_id bigint, band bigint")
