@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.plans.common import DML
+from tidelog.plans.common import DML, materialize, spread
 
 KINDS = ("whole", "fraction", "text", "flag", "list", "object")
 #: Registered column types (codes) by the kind of value they hold.
@@ -28,16 +28,19 @@ def cells(captures: DataFrame) -> DataFrame:
     rows = captures.filter(F.col("rec_type").isin(*DML) & F.col("log_offset").isNotNull() & F.col("table_meta_id").isNotNull())
     parsed = F.expr("try_cast(try_parse_json(payload) as map<string, variant>)")
     raw = F.from_json("payload", "map<string, string>")
-    rows = rows.select(F.shiftright("table_meta_id", 16).alias("table_id"), "log_offset", "row_key", "file_id", "row_no", raw.alias("raw"), F.explode(parsed).alias("field", "value"))
-    shape = F.schema_of_variant("value")
+    # the shape of a value is found inside the generator, so that later expressions don't find it again
+    filled = F.transform(F.map_entries(parsed), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("shape")))
+    rows = spread(rows.select(F.shiftright("table_meta_id", 16).alias("table_id"), "log_offset", "row_key", "file_id", "row_no", "payload"))
+    rows = rows.select("table_id", "log_offset", "row_key", "file_id", "row_no", raw.alias("raw"), F.inline(filled)).filter(F.col("shape") != "VOID")
+    shape = F.col("shape")
     kind = (
         F.when(shape == "BIGINT", "whole").when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "fraction").when(shape == "BOOLEAN", "flag")
-        .when(shape.startswith("ARRAY"), "list").when(shape.startswith("OBJECT"), "object").when(shape != "VOID", "text")
+        .when(shape.startswith("ARRAY"), "list").when(shape.startswith("OBJECT"), "object").otherwise("text")
     )
-    rows = rows.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    text = F.when(F.col("kind").isin("list", "object"), F.to_json("value")).otherwise(F.coalesce(F.element_at("raw", F.col("field")), F.expr("cast(value as string)")))
-    whole = (F.col("kind") == "fraction") & text.rlike("^-?[0-9]+$")
-    return rows.select("table_id", "log_offset", "row_key", "file_id", "row_no", "field", F.when(whole, "whole").otherwise(F.col("kind")).alias("kind"), text.alias("text"))
+    nested = shape.startswith("ARRAY") | shape.startswith("OBJECT")
+    text = F.when(nested, F.to_json("value")).otherwise(F.coalesce(F.element_at("raw", F.col("field")), F.expr("cast(value as string)")))
+    whole = (kind == "fraction") & text.rlike("^-?[0-9]+$")
+    return rows.select("table_id", "log_offset", "row_key", "file_id", "row_no", "field", F.when(whole, "whole").otherwise(kind).alias("kind"), text.alias("text"))
 
 
 def field_statistics(values: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def _following(stats: DataFrame) -> DataFrame:
     return stats.select(*_FILE).distinct().withColumn("next", F.lead("log_offset").over(order)).withColumn("first", F.row_number().over(order) == 1)
 
 
-def _renames(values: DataFrame, added: DataFrame, removed: DataFrame, following: DataFrame, materialize) -> DataFrame:
+def _renames(values: DataFrame, added: DataFrame, removed: DataFrame, following: DataFrame) -> DataFrame:
     """Pairs of a new and a vanished field that hold the same text for most row keys filled in both: table_id, at, field, old_field."""
     both = added.select("table_id", "at").intersect(removed.select("table_id", "at"))
     ahead = following.filter(F.col("next").isNotNull()).select(*_FILE, F.col("next").alias("at"))
@@ -74,7 +77,7 @@ def _renames(values: DataFrame, added: DataFrame, removed: DataFrame, following:
     return scored.filter("_a = 1 and _b = 1").select(*pair)
 
 
-def field_changes(captures: DataFrame, materialize=lambda df, name: df) -> DataFrame:
+def field_changes(captures: DataFrame) -> DataFrame:
     """The list of changes: table_id, log_offset (of the later file), field, change (added, removed, renamed, retyped), old_field, kind, old_kind.
 
     Files of a table with one log_offset are one file, compared with the one before by log_offset; files without a readable
@@ -90,7 +93,7 @@ def field_changes(captures: DataFrame, materialize=lambda df, name: df) -> DataF
     diff = now.join(before, ["table_id", "at", "field"], "full").filter(~F.col("kind").eqNullSafe(F.col("old_kind")))
     diff = materialize(diff, "differences")
     added, removed = diff.filter(F.col("old_kind").isNull()), diff.filter(F.col("kind").isNull())
-    renames = materialize(_renames(values, added.select("table_id", "at", "field"), removed.select("table_id", "at", "field"), following, materialize), "renames")
+    renames = materialize(_renames(values, added.select("table_id", "at", "field"), removed.select("table_id", "at", "field"), following), "renames")
     renamed = renames.join(added.select("table_id", "at", "field", "kind"), ["table_id", "at", "field"]).join(removed.select("table_id", "at", F.col("field").alias("old_field"), "old_kind"), ["table_id", "at", "old_field"])
     shape = lambda rows, change, old: rows.select("table_id", F.col("at").alias("log_offset"), "field", F.lit(change).alias("change"), old.alias("old_field"), "kind", "old_kind")
     none = F.lit(None).cast("string")
@@ -124,7 +127,7 @@ def latest_names(changes: DataFrame) -> DataFrame:
     return renamed.groupBy("table_id").applyInPandas(follow, "table_id bigint, field string, until bigint, name string")
 
 
-def consistent_values(captures: DataFrame, changes: DataFrame, materialize=lambda df, name: df) -> DataFrame:
+def consistent_values(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """All filled fields under one name and one type for each table: table_id, log_offset, row_key, file_id, row_no, name, kind, whole, fraction, flag,
     items, text, cast_failed.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import asof, delivery, drift, incremental, references, replay
-from tidelog.plans.common import DML, counting_messages, materialize, scratch, table
+from tidelog.plans.common import DML, counting_messages, scratch, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +40,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.field_changes(table(spark, sf_dir, "capture_rows"), materialize).select("table_id", "log_offset", "field", "change")
+    return drift.field_changes(table(spark, sf_dir, "capture_rows")).select("table_id", "log_offset", "field", "change")
 
 
 def p5_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = table(spark, sf_dir, "capture_rows")
-    values = drift.consistent_values(captures, drift.field_changes(captures, materialize), materialize)
+    values = drift.consistent_values(captures, drift.field_changes(captures))
     return values.groupBy("table_id", "name", "kind").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("cast_failed").alias("n_failed"))
 
 
