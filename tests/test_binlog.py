@@ -72,6 +72,23 @@ def test_files_become_changes(spark, log):
     assert later.count() == 6
 
 
+def test_files_are_followed_as_they_grow(spark, log, tmp_path):
+    B.register(spark)
+    grown, raw = tmp_path / "grow", (log / "bin.000001").read_bytes()
+    grown.mkdir()
+    (grown / "bin.000001").write_bytes(raw[:-7])  # the rotation isn't whole yet
+
+    def follow():
+        rows = spark.readStream.format("tidelog_binlog").option("path", f"{grown}/bin.*").load()
+        rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(once=True).start().awaitTermination()
+        return sorted(r.rec_type for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert follow() == [0, 0, 1, 4, 5, 6]
+    (grown / "bin.000001").write_bytes(raw)
+    (grown / "bin.000002").write_bytes((log / "bin.000002").read_bytes())
+    assert follow() == sorted([0, 0, 1, 4, 5, 6, 5, 2, 7, 16])
+
+
 def test_seek_by_time(log):
     paths = [f"{log}/bin.000001", f"{log}/bin.000002"]
     assert B.seek_timestamp(paths, 101)[0].endswith("1")

@@ -108,3 +108,11 @@ def test_count_windows_number_rows_over_partitions(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 1000).alias("o"))
     found = windows.numbered(df, ["o"], ["k"], parts=7).groupBy("k").agg(F.countDistinct("ordinal").alias("n"), F.max("ordinal").alias("m"), F.max_by("o", "ordinal").alias("last"), F.max("o").alias("most"))
     assert all(r.n == r.m + 1 and r.last == r.most for r in found.collect())
+
+
+def test_point_select_needs_the_whole_key(spark):
+    state = spark.createDataFrame([(1, 2, "x"), (1, None, "y")], "a int, b int, v string")
+    assert [r.v for r in log.point_select(state, {"a": 1, "b": 2}, ["a", "b"]).collect()] == ["x"]
+    assert [r.v for r in log.point_select(state, {"a": 1, "b": None}, ["a", "b"]).collect()] == ["y"]
+    with pytest.raises(ValueError):
+        log.point_select(state, {"a": 1}, ["a", "b"])

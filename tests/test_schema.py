@@ -100,3 +100,11 @@ def test_differences():
     a, b = last(f"CREATE TABLE t ({T3})"), last(f"CREATE TABLE t ({T3})", "ALTER TABLE t DROP b, ADD z int FIRST, MODIFY c varchar(30)")
     assert sorted(ddl.differences(a, b)) == [("b", "removed"), ("c", "retyped"), ("z", "added")]
     assert ddl.differences(None, a) == [("a", "added"), ("b", "added"), ("c", "added")]
+
+
+def test_snapshot_of_a_table(spark):
+    df = spark.createDataFrame([], "a bigint, b string, c decimal(9,2), d array<int>, e timestamp_ntz")
+    r = ddl.Registry().load([ddl.snapshot(df, "d", "t", ("a",))], 5).script([(9, "ALTER TABLE d.t DROP d")])
+    assert r.at("d", "t", 4) is None
+    assert [(c.name, c.kind) for c in r.at("d", "t", 6).table.columns] == [("a", "INT64"), ("b", "TEXT"), ("c", "DECIMAL"), ("d", "JSON"), ("e", "DATETIME")]
+    assert r.at("d", "t", 9).table.schema().simpleString() == "struct<a:bigint,b:string,c:decimal(9,2),e:timestamp_ntz>"

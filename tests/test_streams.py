@@ -49,3 +49,39 @@ def test_log_source_prunes_row_groups(spark, tmp_path):
     df = spark.read.format("tidelog").option("path", str(tmp_path / "log.parquet")).option("startingOffset", 35).load()
     assert df.filter("log_offset <= 52 and rec_type in (0, 1)").count() == sum(k % 3 < 2 for k in range(35, 53))
     assert df.filter("log_offset > 1000").count() == 0
+
+
+class Target:
+    def __init__(self, log, errors):
+        self.log, self.errors, self.open = log, errors, []
+
+    def execute(self, text):
+        if self.errors.get(text):
+            raise RuntimeError(self.errors[text].pop(0))
+        self.open.append(text)
+
+    def commit(self):
+        self.log.append(list(self.open))
+        self.open = []
+
+    def close(self):
+        pass
+
+
+def test_applier_commits_retries_and_passes_over():
+    from types import SimpleNamespace as Row
+
+    import pytest
+
+    statements = [Row(log_offset=k, statement=f"s{k}", ends_transaction=k % 2 == 1) for k in range(6)]
+    log, errors = [], {"s1": [1213], "s3": [1062]}
+    assert streams.Applier(lambda: Target(log, errors)).apply(iter(statements)) == 6
+    assert log == [["s0", "s1"], ["s2"], ["s4", "s5"]]
+    log.clear()
+    assert streams.Applier(lambda: Target(log, {}), batch_commit=2).apply(iter(statements)) == 6
+    assert [len(c) for c in log] == [4, 2]
+    log.clear()
+    assert streams.Applier(lambda: Target(log, {}), dry_run=True).apply(iter(statements)) == 0
+    assert log == []
+    with pytest.raises(RuntimeError):
+        streams.Applier(lambda: Target(log, {"s2": [1064]})).apply(iter(statements))

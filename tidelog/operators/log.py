@@ -116,6 +116,15 @@ def keys_from(log: DataFrame, start: str, descending: bool = False) -> DataFrame
     return touches(log).filter(side).groupBy("table_id", "key").agg(F.count(F.lit(1)).alias("n_versions"))
 
 
+def point_select(state: DataFrame, keys: Mapping[str, object], key_columns: Iterable[str]) -> DataFrame:
+    """The row of a latest-state table with these key values; they must name exactly the key's columns. A null key value finds rows without one."""
+    if set(keys) != set(key_columns):
+        raise ValueError(f"the key is {', '.join(key_columns)}, not {', '.join(keys)}")
+    for column, value in keys.items():
+        state = state.filter(F.col(column).eqNullSafe(F.lit(value)))
+    return state
+
+
 def merge_segments(*segments: DataFrame) -> DataFrame:
     """Keyed logs of several segments as one: for each key the message of the newest segment position wins."""
     every = segments[0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tidelog.functions import scalar
+from tidelog.functions import scalar, udf
 from tidelog.plans.common import table
 from tidelog.sql import dialect
 
@@ -150,3 +151,39 @@ def _statement(text: str):
 
 for _n, (_mine, _theirs) in _STATEMENTS.items():
     _add(_n, _statement(_mine), _theirs or _mine)
+
+
+# user functions
+
+
+def udf_row(spark, sf_dir):
+    udf.register_row(spark, "area", lambda a, b: a * b, "bigint", ("bigint", "bigint"))
+    name = udf.resolve("area", ("bigint", "int"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.call_function(name, F.col("l_partkey"), F.col("l_linenumber").cast("bigint")).alias("v"))
+
+
+def udf_group(spark, sf_dir):
+    """A user aggregate: only each group's own values meet in a task; where that is too much, a built-in aggregate is the way."""
+    def spread(v: pd.Series) -> int:
+        return int(v.max() - v.min())
+
+    udf.register_group(spark, "spread", spread, "bigint", ("int",))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.call_function(udf.resolve("spread", ("int",)), F.col("p_size")).alias("v"))
+
+
+class _Digits:
+    def eval(self, number: int):
+        for k, digit in enumerate(str(number)):
+            yield k, int(digit)
+
+
+def udf_table(spark, sf_dir):
+    udf.register_table(spark, "digits", _Digits, "place: int, digit: int")
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql("SELECT c_custkey, d.place, d.digit FROM customer, LATERAL digits(c_custkey) d")
+
+
+_add("udf_row", udf_row, "select l_orderkey, l_linenumber, l_partkey * l_linenumber as v from lineitem")
+_add("udf_group", udf_group, "select p_brand, (max(p_size) - min(p_size))::bigint as v from part group by 1")
+_add("udf_table", udf_table, "with d as (select c_custkey, unnest(range(0, length(c_custkey::varchar)::bigint))::int as place from customer) select c_custkey, place, substr(c_custkey::varchar, place + 1, 1)::int as digit from d")
+_add("fn_hash", lambda spark, d: table(spark, d, "customer").select("c_custkey", F.crc32("c_name").alias("crc"), scalar.bucket(F.col("c_name"), F.col("c_nationkey")).alias("hash")), None)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Fixed values of the protocol: the file's first bytes, event types and column types.
 MAGIC = b"\xfebin"
@@ -448,16 +448,34 @@ def read_query(b: bytes) -> tuple[str, str]:
 SCHEMA = "log_offset bigint, row_no int, ts timestamp, rec_type int, db string, tbl string, before string, after string, changed array<string>, ddl string"
 
 
-def changes(path: str, columns: dict[str, list[str]] | None = None) -> Iterator[tuple]:
+def complete(path: str, at: int = 4) -> int:
+    """The place after the last whole event of a file that may still grow, looking from ``at`` on at headers only."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        while at + 19 <= size:
+            f.seek(at)
+            length = struct.unpack("<IBIIIH", f.read(19))[3]
+            if length < 19 or at + length > size:
+                break
+            at += length
+    return at
+
+
+def changes(path: str, columns: dict[str, list[str]] | None = None, start: int = 0, end: int = 2**63) -> Iterator[tuple]:
     """The records of a file, as SCHEMA: rows with their images as JSON, BEGIN, COMMIT, ROLLBACK, DDL and heartbeats.
 
-    ``columns``: names of the columns of "db.table"; others are c0, c1, ... A rotation must lead to the next file number.
+    ``columns``: names of the columns of "db.table"; others are c0, c1, ... A rotation must lead to the next file number. Of events before
+    position ``start`` only the tables they announce are read; those from ``end`` on aren't.
     """
     number, maps = file_number(path), {}
     codes = {"insert": 0, "update": 1, "delete": 2}
     show = lambda row: None if row is None else json.dumps(row, ensure_ascii=False)
     for at, ts, kind, body in events(path):
         offset, when = number << 44 | at, dt.datetime.fromtimestamp(ts, dt.UTC)
+        if offset >= end:
+            return
+        if offset < start and kind != TABLE_MAP:
+            continue
         if kind == TABLE_MAP:
             t = read_table_map(body)
             t.columns = (columns or {}).get(f"{t.db}.{t.name}", [])
@@ -508,6 +526,8 @@ def seek_timestamp(paths: list[str], ts: int, strict: bool = False) -> tuple[str
 @dataclass
 class _File(InputPartition):
     path: str
+    start: int = 0
+    end: int = 2**63
 
     def __post_init__(self):
         super().__init__(self.path)
@@ -521,12 +541,34 @@ class BinlogReader(DataSourceReader):
 
     def partitions(self):
         files = [f for f in glob.glob(self.path) if re.search(r"\d+$", f)]
-        return [_File(f) for f in sorted(files, key=file_number) if file_number(f) >= self.start >> 44]
+        return [_File(f, self.start) for f in sorted(files, key=file_number) if file_number(f) >= self.start >> 44]
+
+    def read(self, partition: _File):
+        yield from changes(partition.path, self.columns, partition.start, partition.end)
+
+
+class BinlogStream(DataSourceStreamReader):
+    """Follows log files as they grow and rotate. An offset is the place after the last whole event of the last file."""
+
+    def __init__(self, options):
+        self.reader = BinlogReader(options)
+
+    def initialOffset(self):  # noqa: N802
+        return {"position": self.reader.start}
+
+    def latestOffset(self):  # noqa: N802
+        files = self.reader.partitions()
+        return {"position": file_number(files[-1].path) << 44 | complete(files[-1].path)} if files else self.initialOffset()
+
+    def partitions(self, start, end):
+        inside = [f.path for f in self.reader.partitions() if start["position"] >> 44 <= file_number(f.path) <= end["position"] >> 44]
+        return [_File(f, start["position"], end["position"]) for f in inside]
 
     def read(self, partition: _File):
-        for row in changes(partition.path, self.columns):
-            if row[0] >= self.start:
-                yield row
+        yield from self.reader.read(partition)
+
+    def commit(self, end):
+        """Files stay."""
 
 
 class Binlog(DataSource):
@@ -542,6 +584,9 @@ class Binlog(DataSource):
     def reader(self, schema):
         return BinlogReader(self.options)
 
+    def streamReader(self, schema):  # noqa: N802
+        return BinlogStream(self.options)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Binlog)

@@ -125,3 +125,65 @@ def transaction_sink(spark: SparkSession, root: str) -> Callable[[DataFrame, int
         done.write.mode("overwrite").parquet(f"{root}/done/batch={number}")
 
     return take
+
+
+#: Errors of the target after which a statement is tried again, and those that are passed over.
+RETRY_ERRORS = frozenset({1040, 1205, 1213, 2002, 2003, 2006, 2013})
+PASS_ERRORS = frozenset({1007, 1008, 1050, 1051, 1062, 1146})
+
+
+class Applier:
+    """Applies statements to a target through ``connect()``, which gives an object with execute(text), commit() and close().
+
+    Statements go in the order of positions, ``batch_commit`` transactions to a commit, and the position reached is recorded with them in the
+    target. ``dry_run`` executes nothing; ``print_sql`` shows the statements. An error in RETRY_ERRORS reconnects and repeats the uncommitted
+    part, at most ``retries`` times; one in PASS_ERRORS is passed over.
+    """
+
+    def __init__(self, connect: Callable, batch_commit: int = 1, dry_run: bool = False, print_sql: bool = False, retries: int = 3):
+        self.connect, self.batch_commit, self.dry_run, self.print_sql, self.retries = connect, batch_commit, dry_run, print_sql, retries
+
+    def apply(self, rows: Iterator) -> int:
+        """Apply rows with log_offset, statement and ends_transaction; the number of statements executed."""
+        done, pending, ended, target = 0, [], 0, None
+        for row in rows:
+            if self.print_sql:
+                print(row.statement)
+            pending.append(row.statement)
+            ended += bool(row.ends_transaction)
+            if ended >= self.batch_commit:
+                target, done, pending, ended = self._send(target, pending), done + len(pending), [], 0
+        if pending:
+            target, done = self._send(target, pending), done + len(pending)
+        if target is not None:
+            target.close()
+        return 0 if self.dry_run else done
+
+    def _send(self, target, texts: list[str]):
+        if self.dry_run:
+            return None
+        for left in range(self.retries, -1, -1):
+            try:
+                target = target or self.connect()
+                for text in texts:
+                    try:
+                        target.execute(text)
+                    except Exception as e:
+                        if not (e.args and e.args[0] in PASS_ERRORS):
+                            raise
+                target.commit()
+                return target
+            except Exception as e:
+                if not left or not (e.args and e.args[0] in RETRY_ERRORS):
+                    raise
+                target = None
+        return target
+
+    def sink(self) -> Callable[[DataFrame, int], None]:
+        """A foreachBatch function: each table's statements are applied in order by one task, tables side by side."""
+
+        def take(batch: DataFrame, _: int) -> None:
+            applier = self
+            batch.repartition("tbl").sortWithinPartitions("log_offset").foreachPartition(lambda rows: applier.apply(rows))
+
+        return take
