@@ -20,6 +20,8 @@ def test_only_affected_partitions_are_rewritten(spark, tmp_path):
     assert parts == {"d1": 1, "none": 1, "d2": 2, "d4": 2}
     kept = {(r.log_offset, r.delivery_id, r.note, r._part) for r in store.rows().collect()}
     assert kept == {(10, 1, "x", "d1"), (20, 0, "earlier", "d2"), (30, 4, "x", "none"), (40, 8, "new", "d4")}
+    assert store.vacuum() == 1
+    assert store.rows().count() == 4
     assert rows(store.index().groupBy("log_offset").count().filter("count > 1")) == []
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.plans.common import lookup_join
+from tidelog.plans.common import lookup_join, materialize
 
 #: Events of one bucket; bounds what one embedded join holds.
 BUCKET_EVENTS = 150_000
@@ -55,7 +55,7 @@ def attributes_at(events: DataFrame, revisions: DataFrame, only_restated: bool =
     """
     events = events.select("table_id", "log_offset").filter(F.col("log_offset").isNotNull())
     revisions = revisions.select("table_id", "start_offset", "known_offset", "revision_id").dropna(subset=["table_id", "start_offset", "known_offset"]).distinct()
-    per = events.groupBy("table_id").agg(F.count(F.lit(1)).alias("n")).persist()
+    per = materialize(events.groupBy("table_id").agg(F.count(F.lit(1)).alias("n")), "entities")
     total = per.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_events))
     spread = per.filter(F.col("n") > bucket_events).select("table_id", F.ceil(F.col("n") / bucket_events).cast("int").alias("parts"))

@@ -6,8 +6,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidelog.plans.files import list_names, put_once, read_text
+from tidelog.plans.files import list_names, put_once, read_text, remove
 
 
 class DeliveryStore:
@@ -41,8 +42,6 @@ class DeliveryStore:
         frames = {}
         for path in paths:
             frames.setdefault(path.rsplit("/", 1)[0], []).append(path)
-        from pyspark.sql.types import StructType
-
         schema = StructType.fromJson(m["schema"])
         read = [self.spark.read.schema(schema).option("basePath", base).parquet(*own) for base, own in frames.items()]
         out = read[0]
@@ -97,6 +96,17 @@ class DeliveryStore:
             held = held.unionByName(old.select(key, order))
         return held.join(kept, order, "left_anti").distinct()
 
+    def vacuum(self) -> int:
+        """Remove files that the current manifest doesn't name: replaced partitions and leftovers of lost merges. Not while others read older states."""
+        parts, gone = self.manifest()["parts"], 0
+        for version in list_names(self.spark, f"{self.root}/data"):
+            for name in list_names(self.spark, f"{self.root}/data/{version}"):
+                if name.startswith("_part=") and str(parts.get(name.removeprefix("_part="))) != version:
+                    remove(self.spark, f"{self.root}/data/{version}/{name}")
+                    gone += 1
+        remove(self.spark, f"{self.root}/incoming")
+        return gone
+
 
 def duplicates(changes: DataFrame, root: str, partition: Column, identity: list[str], arrival: str = "batch_id", order: str = "delivery_id", key: str = "log_offset") -> DataFrame:
     """Deliveries other than the counting one of their message: ``order`` bigint.

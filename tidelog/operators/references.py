@@ -24,7 +24,10 @@ def catalog_epochs(catalog: DataFrame) -> DataFrame:
 
 
 def valid_references(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(starts, valid): the sorted epoch starts of each table, and the parent keys (table_meta_id, epoch) a reference may hold in each epoch."""
+    """(starts, valid): the sorted epoch starts of each table, and the parent keys (table_meta_id, epoch) a reference may hold in each epoch.
+
+    A table has at most 65,536 versions, as a version is the lower 16 bits of the id: that bounds the starts.
+    """
     versions = catalog_epochs(catalog)
     starts = versions.groupBy("table_id").agg(F.array_sort(F.collect_set("start_offset")).alias("starts"))
     open_epochs = versions.filter(~F.col("epoch_dropped")).select("table_id", F.col("epoch").alias("at")).distinct()
