@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalar import literal_text
 from tidelog.operators.log import FILE_BITS, touches
+from tidelog.operators.windows import running, with_previous
 from tidelog.plans.common import DML
 
 LITERALS = {"a": "number", "b": "number", "c": "text", "d": "number", "f": "time"}
@@ -24,9 +24,8 @@ def conflict_edges(log: DataFrame) -> DataFrame:
     dml = log.filter(F.col("txn_id").isNotNull())
     place = dml.groupBy("txn_id").agg(F.max("log_offset").alias("place"))
     keys = touches(dml).join(dml.select("log_offset", "txn_id"), "log_offset").select("table_id", "key", "txn_id").distinct().join(place, "txn_id")
-    order = W.partitionBy("table_id", "key").orderBy("place", "txn_id")
-    edges = keys.withColumn("after_txn", F.lag("txn_id").over(order)).filter(F.col("after_txn").isNotNull())
-    return edges.select("txn_id", "after_txn").distinct()
+    edges = with_previous(keys, ["place", "txn_id"], ["table_id", "key"], "txn_id", "after_txn")
+    return edges.filter(F.col("after_txn").isNotNull()).select("txn_id", "after_txn").distinct()
 
 
 def conflict_levels(log: DataFrame) -> DataFrame:
@@ -59,8 +58,8 @@ def conflict_levels(log: DataFrame) -> DataFrame:
 def ddl_segments(log: DataFrame) -> DataFrame:
     """The log cut at DDL messages of each table, which are barriers: log_offset, table_id, segment (DDLs of the table before the message)."""
     rows = log.filter(F.col("table_meta_id").isNotNull()).select("log_offset", F.shiftright("table_meta_id", 16).alias("table_id"), "rec_type")
-    before = F.sum(F.when(F.col("rec_type") == 4, 1).otherwise(0)).over(W.partitionBy("table_id").orderBy("log_offset").rowsBetween(W.unboundedPreceding, -1))
-    return rows.select("log_offset", "table_id", F.coalesce(before, F.lit(0)).alias("segment"))
+    ddl = F.when(F.col("rec_type") == 4, 1).otherwise(0)
+    return running(rows, ["log_offset"], ["table_id"], ddl, "segment").select("log_offset", "table_id", "segment")
 
 
 def safe_checkpoint(log: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.windows import numbered, running
 from tidelog.plans.common import DML
 
 FILE_BITS = 44
@@ -106,8 +107,9 @@ def key_lookup(log: DataFrame) -> DataFrame:
 
 def key_history(log: DataFrame, descending: bool = False) -> DataFrame:
     """All messages touching each key, numbered from the first (or the last) version: touches() and version."""
-    order = F.desc("log_offset") if descending else F.asc("log_offset")
-    return touches(log).withColumn("version", F.row_number().over(W.partitionBy("table_id", "key").orderBy(order)))
+    place = (-F.col("log_offset") if descending else F.col("log_offset")).alias("_place")
+    rows = numbered(touches(log).select("*", place), ["_place"], ["table_id", "key"])
+    return rows.withColumn("version", (F.col("ordinal") + 1).cast("int")).drop("ordinal", "_place")
 
 
 def keys_from(log: DataFrame, start: str, descending: bool = False) -> DataFrame:
@@ -229,8 +231,8 @@ def select_tables(log: DataFrame, rules: Mapping[str, Mapping], exclude: Mapping
 
 def markers_to_transactions(events: DataFrame, source: str = "source") -> DataFrame:
     """Transaction numbers from BEGIN and end markers alone: ``txn_seq`` counts BEGINs of a source in log order; 0 before the first."""
-    begun = F.sum(F.when(F.col("rec_type") == 5, 1).otherwise(0)).over(W.partitionBy(source).orderBy("log_offset").rowsBetween(W.unboundedPreceding, 0))
-    return events.withColumn("txn_seq", begun)
+    begin = F.when(F.col("rec_type") == 5, 1).otherwise(0)
+    return running(events, ["log_offset"], [source], begin, "_begun").withColumn("txn_seq", F.col("_begun") + begin).drop("_begun")
 
 
 def last_writer(entries: DataFrame) -> DataFrame:

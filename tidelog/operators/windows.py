@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.plans.common import materialize
+
 
 def _with_bounds(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c != "window"]
@@ -28,25 +30,39 @@ def session(df: DataFrame, time: str, gap: str, keys: list[str], aggs: list[Colu
     return _with_bounds(out)
 
 
-def numbered(df: DataFrame, order: list[str], keys: list[str], parts: int | None = None) -> DataFrame:
-    """Rows numbered from 0 in ``order`` within their key (``ordinal``), without gathering a key in one task.
+def running(df: DataFrame, order: list[str], keys: list[str], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """Rows with the sum of ``value`` (a whole number) over the rows of their key before them in ``order``, as ``name``; no key is gathered in one task.
 
-    Rows are range-partitioned by key and order and numbered inside; how many rows of the key lie in earlier partitions is added from one count for each
-    partition and key.
+    Rows are range-partitioned by key and order and summed inside; what the key has in earlier partitions is added from one sum for each
+    partition and key. The order must be total within a key.
     """
-    ranged = df.repartitionByRange(*([parts] if parts else []), *keys, *order).withColumn("_part", F.spark_partition_id())
-    from tidelog.plans.common import materialize
-
+    ranged = df.repartitionByRange(*([parts] if parts else []), *keys, *order).withColumn("_part", F.spark_partition_id()).withColumn("_value", value.cast("long"))
     ranged = materialize(ranged, "ranged")
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order)) - 1)
-    on = F.lit(True)
-    counts = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), "_before")
+    over_parts = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(over_parts), F.lit(0)))
+    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), "_before")
+    inside = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    on = F.col("_part") == F.col("_p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = local.join(sums, on).withColumn(name, F.col("_before") + F.col("_local"))
+    return joined.drop("_part", "_value", "_p", "_before", "_local", *(f"_{k}" for k in keys))
+
+
+def numbered(df: DataFrame, order: list[str], keys: list[str], parts: int | None = None) -> DataFrame:
+    """Rows numbered from 0 in ``order`` within their key (``ordinal``)."""
+    return running(df, order, keys, F.lit(1), "ordinal", parts)
+
+
+def with_previous(df: DataFrame, order: list[str], keys: list[str], column: str, name: str) -> DataFrame:
+    """Rows with the value of ``column`` in the row before them of their key (null in the first): a join of each number with the one before."""
+    rows = materialize(numbered(df, order, keys), "numbered")
+    before = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col("ordinal") + 1).alias("_ordinal"), F.col(column).alias(name))
+    on = F.col("ordinal") == F.col("_ordinal")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = local.join(counts, (F.col("_part") == F.col("_p")) & on)
-    return joined.withColumn("ordinal", F.col("_before") + F.col("_local")).drop("_part", "_p", "_before", "_local", *(f"_{k}" for k in keys))
+    return rows.join(before, on, "left").drop("ordinal", "_ordinal", *(f"_{k}" for k in keys))
 
 
 def count_tumbling(df: DataFrame, rows: int, order: list[str], keys: list[str], aggs: list[Column]) -> DataFrame:
