@@ -107,10 +107,12 @@ select log_offset, revision_id from held where revision_id is distinct from rest
     "p6_orphans_by_day": _ORPHANS.format(messages=_MESSAGES, select="select table_meta_id >> 16 as table_id, ts::date as day, count(*) as n_orphans, count(distinct table_meta_id) as n_keys from orphans group by all"),
 }
 
-SQL["p5_found"] = """with ok as (select table_meta_id >> 16 as t, log_offset as o, row_key, file_id, row_no, payload from capture_rows where rec_type in (0, 1, 2, 3) and log_offset is not null and json_valid(payload) and json_type(payload) = 'OBJECT'),
+_CELLS = """with ok as (select table_meta_id >> 16 as t, log_offset as o, row_key, file_id, row_no, payload from capture_rows where rec_type in (0, 1, 2, 3) and log_offset is not null and json_valid(payload) and json_type(payload) = 'OBJECT'),
 cell as (select t, o, row_key, file_id, row_no, j.key as f, case j.type when 'VARCHAR' then 'text' when 'BOOLEAN' then 'flag' when 'ARRAY' then 'list' when 'OBJECT' then 'object' when 'DOUBLE' then 'fraction' else 'whole' end as kind,
     case when j.type = 'VARCHAR' then j.value ->> '$' else j.value::varchar end as x from ok, json_each(ok.payload) j where j.type <> 'NULL'),
-stat as (select t, o, f, arg_max(kind, (n, kind)) as kind from (select t, o, f, kind, count(*) as n from cell group by all) group by t, o, f),
+stat as (select t, o, f, arg_max(kind, (n, kind)) as kind from (select t, o, f, kind, count(*) as n from cell group by all) group by t, o, f)"""
+
+SQL["p5_found"] = f"""{_CELLS},
 file as (select t, o, lead(o) over (partition by t order by o) as nxt, row_number() over (partition by t order by o) as k from (select distinct t, o from cell)),
 now as (select s.t, s.o as pos, s.f, s.kind from stat s join file on file.t = s.t and file.o = s.o where k > 1),
 was as (select s.t, nxt as pos, s.f, s.kind, s.o from stat s join file on file.t = s.t and file.o = s.o where nxt is not null),
@@ -124,3 +126,11 @@ union all select t, pos, f, 'removed' from removed a where not exists (select 1
 union all select t, pos, f, 'renamed' from ren
 union all select t, pos, f, 'retyped' from ren where kind <> old_kind
 union all select n.t, n.pos, n.f, 'retyped' from now n join was w on w.t = n.t and w.pos = n.pos and w.f = n.f where w.kind <> n.kind"""
+
+SQL["p5_registry_differences"] = f"""{_CELLS},
+version as (select distinct table_meta_id >> 16 as t, log_offset as o, table_meta_id from capture_rows where log_offset is not null),
+known as (select table_meta_id, column_name as f, max(case when col_type in (1, 2, 3, 4, 5, 6, 7, 8, 17) then 'whole' when col_type in (9, 10, 11, 12) then 'fraction' when col_type = 29 then 'flag' else 'text' end) as registered_kind from column_defs where column_name is not null group by 1, 2),
+held as (select v.table_meta_id, s.o as log_offset, s.f, s.kind from stat s join version v using (t, o) where v.table_meta_id in (select table_meta_id from known)),
+want as (select h.table_meta_id, h.log_offset, k.f, k.registered_kind from (select distinct table_meta_id, log_offset from held) h join known k using (table_meta_id))
+select table_meta_id, log_offset, f as field, kind, registered_kind, case when registered_kind is null then 'unregistered' when kind is null then 'missing' else 'other_kind' end as difference
+from held full join want using (table_meta_id, log_offset, f) where kind is distinct from registered_kind"""
