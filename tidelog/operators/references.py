@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.plans.common import lookup_join
+from tidelog.plans.common import lookup_join, materialize
 
 
 def catalog_epochs(catalog: DataFrame) -> DataFrame:
@@ -50,6 +50,7 @@ def orphan_references(references: DataFrame, catalog: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("_epoch", F.when(F.col("starts").isNull(), 0).otherwise(epoch)).drop("starts", "_table")
     keys = keyed.select("table_meta_id", "_epoch").distinct()
     orphans = keys.join(valid.withColumnRenamed("epoch", "_epoch"), ["table_meta_id", "_epoch"], "left_anti")
+    orphans = materialize(orphans, "orphans")  # else counting them would read all references once more
     return lookup_join(keyed, orphans, ["table_meta_id", "_epoch"], "left_semi", F.col("log_offset")).drop("_epoch")
 
 
