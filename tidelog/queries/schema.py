@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.plans.common import table
-from tidelog.queries.log import _M, messages
+from tidelog.queries.log import messages
 from tidelog.schema import catalog, ddl
 
 QUERIES: dict = {}

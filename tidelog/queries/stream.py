@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.plans.common import scratch, table
-from tidelog.queries.log import _A, _M
+from tidelog.queries.log import _A
 from tidelog.sources import changelog
 from tidelog.streaming import streams
 
