@@ -71,3 +71,20 @@ def test_the_sink_keeps_one_row_of_a_key_and_offset(spark, tmp_path):
     run.run(log(spark, ("a", 1, 1), ("b", 1, 1)))  # the same record by another way
     assert run.sink().count() == 1
     assert run.sink().first().batch == 1
+
+
+def test_records_that_land_late_come_in_the_next_batch(spark, tmp_path):
+    run = incremental.IncrementalRun(spark, str(tmp_path))
+    first = log(spark, ("a", 5, 1), ("a", 9, 2), ("b", 7, 3))
+    assert run.run(first) == 1
+    late = first.unionAll(log(spark, ("a", 3, 4), ("a", 6, 5), ("b", None, 6), ("a", 9, 2)))  # below the offset reached, without offset, delivered again
+    with pytest.raises(RuntimeError):
+        run.run(late, fail_before_commit=True)
+    later = late.unionAll(log(spark, ("a", 4, 7)))
+    again = incremental.IncrementalRun(spark, str(tmp_path))
+    assert again.run(later) == 2  # as planned
+    assert again.committed() == {"a": 9, "b": 7}
+    assert again.run(later) == 3
+    assert again.run(later) is None
+    batch = {r.record_id: r.batch for r in again.sink().collect()}
+    assert batch == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 3}

@@ -75,9 +75,11 @@ def pending_messages(changes: DataFrame, runs: DataFrame, position: str = "deliv
 class IncrementalRun:
     """Runs that each process what was added since the last one, without skipping or repeating under failures.
 
-    A run first writes its plan (offset ranges of each source partition) ahead; a plan without its commit mark is replayed as it stands
-    before a new one is made. The sink keeps one row for each (key, offset), so a replay after a half-written batch changes nothing.
-    Plans and marks are small files made once and never changed.
+    A run first writes its plan ahead: which (partition, key, offset) it takes, and how far that reaches in each source partition. What an
+    earlier plan has taken is never taken again, and all else is, so records that land late below an offset reached, and those without
+    offset, come in the next plan. A plan without its commit mark is replayed as it stands before a new one is made. The sink keeps one row
+    for each (key, offset), so a replay after a half-written batch changes nothing. Plans and marks are small files made once and never
+    changed; what they take are tables of three columns beside them, which grow with the log.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str = "record_id", offset: str = "log_offset", partition: str = "source_partition"):
@@ -86,8 +88,20 @@ class IncrementalRun:
     def _numbers(self, folder: str) -> list[int]:
         return sorted(int(n.split(".")[0]) for n in list_names(self.spark, f"{self.root}/{folder}") if n.endswith(".json"))
 
+    def _told(self, source: DataFrame) -> DataFrame:
+        """The rows of a source with what tells them apart: _p, _k, _o."""
+        return source.withColumns({"_p": F.coalesce(F.col(self.partition).cast("string"), F.lit("")), "_k": F.col(self.key), "_o": F.col(self.offset)})
+
+    def _taken(self, numbers: list[int]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.root}/taken/batch={n}" for n in numbers))
+
+    def _matching(self, rows: DataFrame, taken: DataFrame, how: str) -> DataFrame:
+        """Rows that are taken (left_semi) or not (left_anti); nulls are equal."""
+        r, t = rows.alias("r"), taken.alias("t")
+        return r.join(t, [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("_p", "_k", "_o")], how)
+
     def committed(self) -> dict[str, int]:
-        """The offset reached in each source partition by committed batches."""
+        """The greatest offset in each source partition that committed batches hold; some below it may still land."""
         done = self._numbers("commits")
         return json.loads(read_text(self.spark, f"{self.root}/plans/{done[-1]}.json"))["until"] if done else {}
 
@@ -96,21 +110,22 @@ class IncrementalRun:
         plans, done = self._numbers("plans"), set(self._numbers("commits"))
         if plans and plans[-1] not in done:
             return json.loads(read_text(self.spark, f"{self.root}/plans/{plans[-1]}.json"))
-        since = self.committed()
-        tops = source.filter(F.col(self.offset).isNotNull()).groupBy(F.coalesce(F.col(self.partition).cast("string"), F.lit("")).alias("p")).agg(F.max(self.offset).alias("top"))
-        until = {**since, **{r.p: r.top for r in tops.collect() if r.top > since.get(r.p, -(2**63))}}  # one row for each source partition
-        if until == since:
+        number = (plans[-1] if plans else 0) + 1
+        new = self._told(source).select("_p", "_k", "_o")
+        if plans:
+            new = self._matching(new, self._taken(plans), "left_anti")
+        new.distinct().write.mode("overwrite").parquet(f"{self.root}/taken/batch={number}")
+        tops = self._taken([number]).groupBy("_p").agg(F.max("_o").alias("top")).collect()  # one row for each source partition
+        if not tops:
             return None
-        batch = {"batch": (plans[-1] if plans else 0) + 1, "since": since, "until": until}
-        put_once(self.spark, f"{self.root}/plans/{batch['batch']}.json", json.dumps(batch))
+        since = self.committed()
+        until = {**since, **{r._p: r.top for r in tops if r.top is not None and r.top > since.get(r._p, -(2**63))}}
+        batch = {"batch": number, "since": since, "until": until}
+        put_once(self.spark, f"{self.root}/plans/{number}.json", json.dumps(batch))
         return batch
 
     def rows_of(self, source: DataFrame, batch: dict) -> DataFrame:
-        bounds = [(p, batch["since"].get(p), top) for p, top in batch["until"].items()]
-        limits = self.spark.createDataFrame(bounds, "_p string, _since long, _until long")
-        of = source.withColumn("_p", F.coalesce(F.col(self.partition).cast("string"), F.lit("")))
-        new = of.join(F.broadcast(limits), "_p").filter(F.col(self.offset) <= F.col("_until")).filter(F.col("_since").isNull() | (F.col(self.offset) > F.col("_since")))
-        return new.drop("_p", "_since", "_until")
+        return self._matching(self._told(source), self._taken([batch["batch"]]), "left_semi").drop("_p", "_k", "_o")
 
     def run(self, source: DataFrame, process=lambda df: df, fail_before_commit: bool = False) -> int | None:
         """Process one batch; the number of the batch, or None when nothing was new. ``fail_before_commit`` is for tests of recovery."""
