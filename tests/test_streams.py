@@ -31,6 +31,19 @@ def test_open_transactions_are_held_back(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "held" / "2"))) == [(3, 0)]
 
 
+def test_messages_after_the_end_of_their_transaction_are_published(spark, tmp_path):
+    schema = "txn_id long, rec_type int"
+    take = streams.transaction_sink(spark, str(tmp_path))
+    take(spark.createDataFrame([(1, 6), (2, 0)], schema), 0)
+    take(spark.createDataFrame([(1, 0), (2, 7)], schema), 1)
+    for _ in range(2):  # a batch run twice
+        take(spark.createDataFrame([(1, 1), (2, 2), (3, 0)], schema), 2)
+    take(spark.createDataFrame([(4, 0)], schema), 3)
+    done = spark.read.parquet(str(tmp_path / "done"))
+    assert rows(done.select("batch", "txn_id", "rec_type")) == [(0, 1, 6), (1, 1, 0), (1, 2, 0), (1, 2, 7), (2, 1, 1), (2, 2, 2)]
+    assert rows(spark.read.parquet(str(tmp_path / "held" / "3"))) == [(3, 0), (4, 0)]
+
+
 def test_heartbeats_are_dropped(spark):
     df = spark.createDataFrame([(0,), (16,)], "rec_type int").withColumn("ts", F.current_timestamp())
     assert streams.with_heartbeat(df).count() == 1

@@ -99,10 +99,17 @@ def count_windows(stream: DataFrame, key: str, value: str, rows: int) -> DataFra
     return stream.groupBy(key).transformWithStateInPandas(CountWindow(rows, value), "key string, number bigint, n bigint, total decimal(38,4)", "Append", "None")
 
 
-def whole_transactions(batch: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(messages of transactions that have ended, messages still held back) of a batch and what was held before."""
+def _ended(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("rec_type").isin(6, 7) & F.col("txn_id").isNotNull()).select("txn_id")
+
+
+def whole_transactions(batch: DataFrame, held: DataFrame | None, published: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(messages of transactions that have ended, messages still held back) of a batch and what was held before.
+
+    ``published`` is what earlier batches have put out: a message that comes after the end of its transaction goes out at once.
+    """
     rows = batch if held is None else held.unionByName(batch)
-    ended = rows.filter(F.col("rec_type").isin(6, 7) & F.col("txn_id").isNotNull()).select("txn_id").distinct()
+    ended = (_ended(rows) if published is None else _ended(rows).unionAll(_ended(published))).distinct()
     free = rows.filter(F.col("txn_id").isNull())
     own = rows.filter(F.col("txn_id").isNotNull())
     done = own.join(ended, "txn_id", "left_semi").select(rows.columns)
@@ -112,7 +119,8 @@ def whole_transactions(batch: DataFrame, held: DataFrame | None) -> tuple[DataFr
 def transaction_sink(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that publishes whole transactions only: done/batch=N, with the open ones in held/N for the next batch.
 
-    A repeated batch reads what batch N - 1 held and writes the same again.
+    Transactions that ended in an earlier batch are known by their end markers in done/, so messages that land later are published too.
+    A repeated batch reads what batch N - 1 held and those before it published, and writes the same again.
     """
 
     def take(batch: DataFrame, number: int) -> None:
@@ -120,9 +128,13 @@ def transaction_sink(spark: SparkSession, root: str) -> Callable[[DataFrame, int
 
         before = f"{root}/held/{number - 1}"
         held = spark.read.schema(batch.schema).parquet(before) if exists(spark, before) else None
-        done, rest = whole_transactions(batch, held)
+        out = f"{root}/done"
+        published = None
+        if number and exists(spark, out):
+            published = spark.read.schema(batch.select("txn_id", "rec_type").schema.add("batch", "long")).parquet(out).filter(F.col("batch") < number)
+        done, rest = whole_transactions(batch, held, published)
         rest.write.mode("overwrite").parquet(f"{root}/held/{number}")
-        done.write.mode("overwrite").parquet(f"{root}/done/batch={number}")
+        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return take
 
