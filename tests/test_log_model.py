@@ -116,3 +116,22 @@ def test_point_select_needs_the_whole_key(spark):
     assert [r.v for r in log.point_select(state, {"a": 1, "b": None}, ["a", "b"]).collect()] == ["y"]
     with pytest.raises(ValueError):
         log.point_select(state, {"a": 1}, ["a", "b"])
+
+
+def test_mapped_columns_are_named_in_every_clause(spark, df):
+    catalog = spark.createDataFrame([((k + 1) << 16, s) for k, s in enumerate(SHAPES.values())], "table_meta_id long, key_columns string")
+    found = {r.log_offset: r.statement for r in apply.statements(df, catalog, {"a": "id", "c": "code"}).collect()}
+    wheres = set()
+    for r in df.select("log_offset", "rec_type", "tbl").collect():
+        text = found.get(r.log_offset, "")
+        assert "`a`" not in text and "`c`" not in text
+        if r.rec_type in (1, 2) and text:
+            wheres.add((r.rec_type, r.tbl, text.split(" WHERE ")[1].count("`id`"), text.split(" WHERE ")[1].count("`code`")))
+    assert {(1, "int_pk", 1, 0), (2, "int_pk", 1, 0), (1, "var_pk", 1, 1), (2, "char_pk", 0, 1), (2, "no_pk", 1, 1)} <= wheres
+
+
+def test_the_mapping_query_is_registered_over_all_dml(spark, data):
+    from tidelog.queries.log import QUERIES
+
+    kinds = {r.statement.split(" ")[0] for r in QUERIES["apply_column_map_dml"](spark, data).collect()}
+    assert {"INSERT", "UPDATE", "DELETE"} <= kinds

@@ -81,9 +81,9 @@ def where_columns(keys: Column, image: str) -> Column:
     return F.when(F.coalesce(whole, F.lit(False)), keys).otherwise(names)
 
 
-def _where(keys: Column, image: str) -> Column:
+def _where(keys: Column, image: str, names: Mapping[str, str]) -> Column:
     columns = where_columns(keys, image)
-    test = lambda c: F.when(F.array_contains(columns, c), F.when(F.col(f"{image}.{c}").isNull(), F.lit(f"`{c}` IS NULL")).otherwise(F.concat(F.lit(f"`{c}` = "), _value(c, image))))
+    test = lambda c: F.when(F.array_contains(columns, c), F.when(F.col(f"{image}.{c}").isNull(), F.lit(f"`{names[c]}` IS NULL")).otherwise(F.concat(F.lit(f"`{names[c]}` = "), _value(c, image))))
     return F.concat(F.lit(" WHERE "), F.concat_ws(" AND ", *(test(c) for c in LITERALS)))
 
 
@@ -91,7 +91,7 @@ def statements(log: DataFrame, catalog: DataFrame, mapping: Mapping[str, str] |
     """The SQL statement of each DML message with the images it needs: log_offset, statement.
 
     INSERT and REPLACE write the whole row (REPLACE as such), UPDATE the changed columns, DELETE the row. The WHERE names the key
-    columns where the version of the table has any and all are filled, otherwise every column, with LIMIT 1. ``mapping`` renames target columns.
+    columns where the version of the table has any and all are filled, otherwise every column, with LIMIT 1. ``mapping`` renames target columns, in every clause.
     """
     names = {c: (mapping or {}).get(c, c) for c in LITERALS}
     keys = catalog.filter(F.col("table_meta_id").isNotNull()).groupBy("table_meta_id").agg(F.split(F.max("key_columns"), ",").alias("keys"))
@@ -102,8 +102,8 @@ def statements(log: DataFrame, catalog: DataFrame, mapping: Mapping[str, str] |
     write = F.concat(F.when(F.col("rec_type") == 3, "REPLACE INTO ").otherwise("INSERT INTO "), target, F.lit(f" ({columns}) VALUES ("), values, F.lit(")"))
     sets = F.concat_ws(", ", *(F.when(F.array_contains(F.col("changed"), c), F.concat(F.lit(f"`{names[c]}` = "), _value(c, "after_img"))) for c in LITERALS))
     once = F.when(where_columns(F.col("keys"), "before_img") != F.col("keys"), F.lit(" LIMIT 1")).otherwise(F.lit(""))
-    update = F.when(F.length(sets) > 0, F.concat(F.lit("UPDATE "), target, F.lit(" SET "), sets, _where(F.col("keys"), "before_img"), once))
-    delete = F.concat(F.lit("DELETE FROM "), target, _where(F.col("keys"), "before_img"), once)
+    update = F.when(F.length(sets) > 0, F.concat(F.lit("UPDATE "), target, F.lit(" SET "), sets, _where(F.col("keys"), "before_img", names), once))
+    delete = F.concat(F.lit("DELETE FROM "), target, _where(F.col("keys"), "before_img", names), once)
     text = (
         F.when(F.col("rec_type").isin(0, 3) & F.col("after_img").isNotNull(), write)
         .when((F.col("rec_type") == 1) & F.col("after_img").isNotNull() & F.col("before_img").isNotNull(), update)

@@ -121,6 +121,16 @@ _add("apply_sql_text", lambda s, d: apply.statements(messages(s, d), table(s, d,
 _add("apply_where_choice", lambda s, d: messages(s, d).filter("before_img is not null").select("log_offset", F.array_join(apply.where_columns(F.array(F.lit("a"), F.lit("d")), "before_img"), ",").alias("v")), f"{_M} select log_offset, case when before_img.a is not null and before_img.d is not null then 'a,d' else 'a,b,c,d,f' end as v from message where before_img is not null")
 _add("apply_column_map", lambda s, d: apply.statements(messages(s, d).filter("rec_type = 0 and table_meta_id is not null"), table(s, d, "table_meta"), {"a": "id", "c": "code"}), f"{_M} select log_offset, 'INSERT INTO `' || db || '`.`' || tbl || '` (`id`, `b`, `code`, `d`, `f`) VALUES (' || concat_ws(', ', {', '.join(_lit(c, 'after_img') for c in _COLS)}) || ')' as statement from message where rec_type = 0 and after_img is not null and db is not null and tbl is not null")
 
+
+def _mapped(sql: str, names: dict[str, str]) -> str:
+    """The statement SQL with the column names it writes, those in backquotes, replaced by ``names``."""
+    for c, name in names.items():
+        sql = sql.replace(f"`{c}`", f"`{name}`")
+    return sql
+
+
+_add("apply_column_map_dml", lambda s, d: apply.statements(messages(s, d), table(s, d, "table_meta"), {"a": "id", "c": "code"}), _mapped(_STATEMENT_SQL, {"a": "id", "c": "code"}))
+
 # windows over events
 
 _AGGS = lambda: [F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")]
