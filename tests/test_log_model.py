@@ -135,3 +135,27 @@ def test_the_mapping_query_is_registered_over_all_dml(spark, data):
 
     kinds = {r.statement.split(" ")[0] for r in QUERIES["apply_column_map_dml"](spark, data).collect()}
     assert {"INSERT", "UPDATE", "DELETE"} <= kinds
+
+
+def test_transactions_that_share_only_a_second_unique_key_wait(spark):
+    dml = lambda o, txn, kind, before, after, changed=None: (o, o, None, txn, kind, "d", "multi_uk", 65536, "|".join(str((after or before)[k]) for k in (0, 2)), None, changed, before, after)
+    df = spark.createDataFrame([
+        dml(1, 1, 0, None, (1, 2, "x", 0, None)), dml(2, 2, 0, None, (1, 2, "y", 0, None)),  # the same (a,b), another c
+        dml(3, 3, 0, None, (1, 7, "z", 0, None)), dml(4, 4, 1, (1, 7, "w", 0, None), (1, 8, "w", 0, None), ["b"]),  # the old (a,b)
+        dml(5, 5, 2, (1, 8, "v", 0, None), None), dml(6, 6, 0, None, (5, 5, "u", 0, None)),
+    ], SCHEMA)
+    unique = spark.createDataFrame([(65536, ["a", "c"]), (65536, ["a", "b"])], "table_meta_id long, columns array<string>")
+    assert apply.conflict_edges(df).count() == 0
+    assert sorted((r.txn_id, r.after_txn) for r in apply.conflict_edges(df, unique).collect()) == [(2, 1), (4, 3), (5, 4)]
+    assert {r.txn_id: r.level for r in apply.conflict_levels(df, unique).collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 2, 6: 0}
+
+
+def test_where_takes_a_filled_unique_key_before_all_columns(spark):
+    row = lambda o, img: (o, o, None, 1, 2, "d", "t", 65536, None, None, None, img, None)
+    df = spark.createDataFrame([row(1, (1, 2, "x", 0, None)), row(2, (None, 2, "x", 0, None)), row(3, (None, None, "x", 0, None))], SCHEMA)
+    catalog = spark.createDataFrame([(65536, "a")], "table_meta_id long, key_columns string")
+    unique = spark.createDataFrame([(65536, ["a", "c"]), (65536, ["b", "c"])], "table_meta_id long, columns array<string>")
+    found = {r.log_offset: r.statement.split(" WHERE ")[1] for r in apply.statements(df, catalog, unique=unique).collect()}
+    assert found[1] == "`a` = 1"
+    assert found[2] == "`b` = 2 AND `c` = 'x'"
+    assert found[3].endswith(" LIMIT 1")

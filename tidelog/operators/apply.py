@@ -8,31 +8,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalar import literal_text
+from tidelog.operators.images import old_value
 from tidelog.operators.log import FILE_BITS, touches
 from tidelog.operators.windows import running, with_previous
-from tidelog.plans.common import DML
+from tidelog.plans.common import DML, lookup_join
 
 LITERALS = {"a": "number", "b": "number", "c": "text", "d": "number", "f": "time"}
 
 
-def conflict_edges(log: DataFrame) -> DataFrame:
+def _by_version(unique: DataFrame) -> DataFrame:
+    """The unique keys of each table version as one sorted list: table_meta_id, uniques."""
+    return unique.groupBy("table_meta_id").agg(F.array_sort(F.collect_set("columns")).alias("uniques"))
+
+
+def conflict_keys(log: DataFrame, unique: DataFrame | None = None) -> DataFrame:
+    """The keys each DML message touches: table_id, index, key, log_offset. The row key, new and old, has the index "".
+
+    ``unique`` has a row for each further unique key of a table version (table_meta_id, columns array<string>); its values are those of the
+    new and of the old image. Nulls are values like any other, equal to one another.
+    """
+    keys = touches(log).select("table_id", F.lit("").alias("index"), "key", "log_offset")
+    if unique is None:
+        return keys
+    dml = log.filter(F.col("rec_type").isin(*DML) & F.col("table_meta_id").isNotNull()).select("table_meta_id", "log_offset", "rec_type", "changed", "before_img", "after_img")
+    dml = lookup_join(dml, _by_version(unique), ["table_meta_id"], "inner", F.col("log_offset")).withColumn("columns", F.explode("uniques"))
+
+    def values(of) -> Column:
+        by_name = F.create_map(*(x for c in LITERALS for x in (F.lit(c), of(c).cast("string"))))
+        return F.to_json(F.transform("columns", lambda c: by_name[c]))
+
+    new = F.when(F.col("after_img").isNotNull(), values(lambda c: F.col(f"after_img.{c}")))
+    old = F.when((F.col("rec_type") != 0) & F.col("before_img").isNotNull(), values(lambda c: F.coalesce(F.col(f"before_img.{c}"), old_value(c))))
+    more = dml.select(F.shiftright("table_meta_id", 16).alias("table_id"), F.array_join("columns", ",").alias("index"), F.explode(F.array_distinct(F.array_compact(F.array(new, old)))).alias("key"), "log_offset")
+    return keys.unionAll(more)
+
+
+def conflict_edges(log: DataFrame, unique: DataFrame | None = None) -> DataFrame:
     """Pairs of transactions where the later must wait for the earlier: txn_id, after_txn.
 
-    Two transactions conflict on a key both touch. Only neighbours in the order of each key are paired: a wait on any earlier one follows from these, and a
+    Two transactions conflict on a key both touch: the row key, and with ``unique`` each further unique key (see conflict_keys). Only neighbours in the order of each key are paired: a wait on any earlier one follows from these, and a
     key touched by every transaction gives one edge for each, not all pairs. A transaction stands where its last message does.
     """
     dml = log.filter(F.col("txn_id").isNotNull())
     place = dml.groupBy("txn_id").agg(F.max("log_offset").alias("place"))
-    keys = touches(dml).join(dml.select("log_offset", "txn_id"), "log_offset").select("table_id", "key", "txn_id").distinct().join(place, "txn_id")
-    edges = with_previous(keys, ["place", "txn_id"], ["table_id", "key"], "txn_id", "after_txn")
+    keys = conflict_keys(dml, unique).join(dml.select("log_offset", "txn_id"), "log_offset").select("table_id", "index", "key", "txn_id").distinct().join(place, "txn_id")
+    edges = with_previous(keys, ["place", "txn_id"], ["table_id", "index", "key"], "txn_id", "after_txn")
     return edges.filter(F.col("after_txn").isNotNull()).select("txn_id", "after_txn").distinct()
 
 
-def conflict_levels(log: DataFrame) -> DataFrame:
+def conflict_levels(log: DataFrame, unique: DataFrame | None = None) -> DataFrame:
     """When each transaction can be applied: txn_id, segment, level.
 
     Segments are the source's log files, applied one after the other; a transaction belongs to the file of its last message. Within one, a
-    transaction's level is one more than the greatest level of an earlier one it shares a key with, so those of a level run side by side.
+    transaction's level is one more than the greatest level of an earlier one it shares a key of conflict_keys() with, so those of a level run side by side.
     One pass in log order finds the levels of a file, whose size the source bounds.
     """
 
@@ -50,7 +78,7 @@ def conflict_levels(log: DataFrame) -> DataFrame:
 
     dml = log.filter(F.col("txn_id").isNotNull())
     place = dml.groupBy("txn_id").agg(F.max("log_offset").alias("place"))
-    keys = touches(dml).join(dml.select("log_offset", "txn_id"), "log_offset").select("txn_id", F.xxhash64("table_id", "key").alias("key_hash")).distinct()
+    keys = conflict_keys(dml, unique).join(dml.select("log_offset", "txn_id"), "log_offset").select("txn_id", F.xxhash64("table_id", "index", "key").alias("key_hash")).distinct()
     rows = keys.join(place, "txn_id").withColumn("segment", F.shiftright("place", FILE_BITS))
     return rows.groupBy("segment").applyInPandas(walk, "txn_id bigint, segment bigint, level bigint")
 
@@ -73,37 +101,46 @@ def _value(column: str, image: str) -> Column:
     return literal_text(F.col(f"{image}.{column}"), LITERALS[column])
 
 
-def where_columns(keys: Column, image: str) -> Column:
-    """The columns a WHERE uses: the key's if none of its values is null, else all."""
+def where_columns(keys: Column, image: str, uniques: Column | None = None) -> Column:
+    """The columns a WHERE uses: the key's if none of its values is null, else those of the best such key of ``uniques`` (one of a single column, else the first), else all."""
     names = F.array(*(F.lit(c) for c in LITERALS))
     filled = F.array_compact(F.array(*(F.when(F.col(f"{image}.{c}").isNotNull(), c) for c in LITERALS)))
     whole = (F.size(keys) > 0) & (F.size(F.array_except(keys, filled)) == 0)
-    return F.when(F.coalesce(whole, F.lit(False)), keys).otherwise(names)
+    rest = names
+    if uniques is not None:
+        full = F.filter(uniques, lambda u: (F.size(u) > 0) & (F.size(F.array_except(u, filled)) == 0))
+        rest = F.coalesce(F.get(F.filter(full, lambda u: F.size(u) == 1), F.lit(0)), F.get(full, F.lit(0)), names)
+    return F.when(F.coalesce(whole, F.lit(False)), keys).otherwise(rest)
 
 
-def _where(keys: Column, image: str, names: Mapping[str, str]) -> Column:
-    columns = where_columns(keys, image)
+def _where(columns: Column, image: str, names: Mapping[str, str]) -> Column:
     test = lambda c: F.when(F.array_contains(columns, c), F.when(F.col(f"{image}.{c}").isNull(), F.lit(f"`{names[c]}` IS NULL")).otherwise(F.concat(F.lit(f"`{names[c]}` = "), _value(c, image))))
     return F.concat(F.lit(" WHERE "), F.concat_ws(" AND ", *(test(c) for c in LITERALS)))
 
 
-def statements(log: DataFrame, catalog: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
+def statements(log: DataFrame, catalog: DataFrame, mapping: Mapping[str, str] | None = None, unique: DataFrame | None = None) -> DataFrame:
     """The SQL statement of each DML message with the images it needs: log_offset, statement.
 
     INSERT and REPLACE write the whole row (REPLACE as such), UPDATE the changed columns, DELETE the row. The WHERE names the key
-    columns where the version of the table has any and all are filled, otherwise every column, with LIMIT 1. ``mapping`` renames target columns, in every clause.
+    columns where the version of the table has any and all are filled, otherwise those of a filled key of ``unique`` (see conflict_keys), otherwise
+    every column, with LIMIT 1. ``mapping`` renames target columns, in every clause.
     """
     names = {c: (mapping or {}).get(c, c) for c in LITERALS}
     keys = catalog.filter(F.col("table_meta_id").isNotNull()).groupBy("table_meta_id").agg(F.split(F.max("key_columns"), ",").alias("keys"))
     rows = log.filter(F.col("rec_type").isin(*DML)).join(keys, "table_meta_id", "left").withColumn("keys", F.coalesce(F.filter("keys", lambda k: F.length(k) > 0), F.array().cast("array<string>")))
+    uniques = None
+    if unique is not None:
+        rows, uniques = lookup_join(rows, _by_version(unique), ["table_meta_id"], "left", F.col("log_offset")), F.coalesce("uniques", F.array().cast("array<array<string>>"))
+    used = where_columns(F.col("keys"), "before_img", uniques)
     target = F.concat(F.lit("`"), F.col("db"), F.lit("`.`"), F.col("tbl"), F.lit("`"))
     columns = ", ".join(f"`{c}`" for c in names.values())
     values = F.concat_ws(", ", *(_value(c, "after_img") for c in LITERALS))
     write = F.concat(F.when(F.col("rec_type") == 3, "REPLACE INTO ").otherwise("INSERT INTO "), target, F.lit(f" ({columns}) VALUES ("), values, F.lit(")"))
     sets = F.concat_ws(", ", *(F.when(F.array_contains(F.col("changed"), c), F.concat(F.lit(f"`{names[c]}` = "), _value(c, "after_img"))) for c in LITERALS))
-    once = F.when(where_columns(F.col("keys"), "before_img") != F.col("keys"), F.lit(" LIMIT 1")).otherwise(F.lit(""))
-    update = F.when(F.length(sets) > 0, F.concat(F.lit("UPDATE "), target, F.lit(" SET "), sets, _where(F.col("keys"), "before_img", names), once))
-    delete = F.concat(F.lit("DELETE FROM "), target, _where(F.col("keys"), "before_img", names), once)
+    one = (used == F.col("keys")) if uniques is None else (used == F.col("keys")) | F.array_contains(uniques, used)
+    once = F.when(~one, F.lit(" LIMIT 1")).otherwise(F.lit(""))
+    update = F.when(F.length(sets) > 0, F.concat(F.lit("UPDATE "), target, F.lit(" SET "), sets, _where(used, "before_img", names), once))
+    delete = F.concat(F.lit("DELETE FROM "), target, _where(used, "before_img", names), once)
     text = (
         F.when(F.col("rec_type").isin(0, 3) & F.col("after_img").isNotNull(), write)
         .when((F.col("rec_type") == 1) & F.col("after_img").isNotNull() & F.col("before_img").isNotNull(), update)

@@ -95,6 +95,29 @@ _add("apply_conflict_edges", lambda s, d: apply.conflict_edges(messages(s, d)),
 k as (select distinct table_id, key, m.txn_id, place from touch join message m using (log_offset) join place p on p.txn_id = m.txn_id),
 e as (select txn_id, lag(txn_id) over (partition by table_id, key order by place, txn_id) as after_txn from k) select distinct * from e where after_txn is not null""")
 _add("apply_conflict_levels", lambda s, d: apply.conflict_levels(messages(s, d)))
+#: The further unique keys of the key shapes of FIXTURES A1, told by the name of the table.
+_UNIQUE = {"multi_uk": [["a", "c"], ["a", "b"]], "pk_and_uk": [["a", "c"]], "pk_multi_uk": [["a", "c"], ["a", "b"]]}
+
+
+def unique_keys(spark, sf_dir) -> DataFrame:
+    """table_meta_id, columns: a row for each further unique key of a version."""
+    shape = F.regexp_replace(F.lower("tbl"), "_[0-9]+$", "")
+    keys = spark.createDataFrame([(s, k) for s, ks in _UNIQUE.items() for k in ks], "shape string, columns array<string>")
+    return table(spark, sf_dir, "table_meta").select("table_meta_id", shape.alias("shape")).distinct().join(F.broadcast(keys), "shape").select("table_meta_id", "columns")
+
+
+_UK_VALUES = lambda of: "to_json(list_transform(cols, lambda x: case x " + " ".join(f"when '{c}' then ({of(c)})::varchar" for c in "abc") + " end))::varchar"
+_UK_OLD = lambda c: f"coalesce(before_img.{c}, case when after_img is null or list_contains(changed, '{c}') then before_img.{c} else after_img.{c} end)"
+_UK_SHAPES = " ".join(f"when '{s}' then {ks}" for s, ks in _UNIQUE.items())
+_add("apply_conflict_edges_unique", lambda s, d: apply.conflict_edges(messages(s, d), unique_keys(s, d)), f"""{_TOUCH}, place as (select txn_id, max(log_offset) as place from message where txn_id is not null group by 1),
+shape as (select distinct table_meta_id, regexp_replace(lower(tbl), '_[0-9]+$', '') as shape from table_meta), uk as (select table_meta_id, unnest(case shape {_UK_SHAPES} end) as cols from shape),
+hit as (select m.*, cols from message m join uk using (table_meta_id) where rec_type in (0, 1, 2, 3)),
+every as (select table_id, '' as idx, key, log_offset from touch
+    union all select table_meta_id >> 16, array_to_string(cols, ','), {_UK_VALUES(lambda c: f"after_img.{c}")}, log_offset from hit where after_img is not null
+    union all select table_meta_id >> 16, array_to_string(cols, ','), {_UK_VALUES(_UK_OLD)}, log_offset from hit where rec_type <> 0 and before_img is not null),
+k as (select distinct table_id, idx, key, m.txn_id, place from every join message m using (log_offset) join place p on p.txn_id = m.txn_id),
+e as (select txn_id, lag(txn_id) over (partition by table_id, idx, key order by place, txn_id) as after_txn from k) select distinct * from e where after_txn is not null""")
+_add("apply_conflict_levels_unique", lambda s, d: apply.conflict_levels(messages(s, d), unique_keys(s, d)))
 _add("apply_ddl_barriers", lambda s, d: apply.ddl_segments(messages(s, d)), f"{_M} select log_offset, table_meta_id >> 16 as table_id, coalesce(sum((rec_type = 4)::int) over (partition by table_meta_id >> 16 order by log_offset rows between unbounded preceding and 1 preceding), 0)::bigint as segment from message where table_meta_id is not null")
 _add("apply_safe_checkpoint", lambda s, d: apply.safe_checkpoint(messages(s, d, _head)), f"{_M}, t as (select min(log_offset) as f, count(*) filter (rec_type in (6, 7)) as e from message where txn_id is not null group by txn_id) select coalesce(min(f) filter (e = 0) - 1, (select max(log_offset) from message)) as position from t")
 _add("apply_position_sql", lambda s, d: log.of_types(messages(s, d, _head), (6,)).select("log_offset", apply.position_statement("apply_state", F.col("log_offset"), F.col("txn_id")).alias("statement")), f"{_M} select log_offset, 'INSERT INTO apply_state (`txn`, `position`) VALUES (' || txn_id || ', ' || log_offset || ') ON DUPLICATE KEY UPDATE `position` = ' || log_offset as statement from message where rec_type = 6")
