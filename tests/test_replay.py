@@ -85,3 +85,12 @@ def test_random_logs_equal_a_model(spark):
                     model[(1, key)] = o
         rng.shuffle(changes)
         assert state(replay.replay_state(log(spark, *changes), log_ended=True)) == model
+
+
+def test_the_registered_queries_wait_for_a_missing_record(spark, tmp_path):
+    from tidelog.queries import queries
+
+    changes = [(1, 1, 0, "a", None), (2, 1, 6, None, None), (3, 2, 0, "b", None), (4, 2, 6, None, None), (5, 3, 0, "c", None), (6, 3, 6, None, None)]
+    log(spark, *(c for c in changes if c[0] != 3)).write.parquet(str(tmp_path / "change_records.parquet"))
+    assert queries()["replay_watermark"](spark, str(tmp_path)).first().through == 2
+    assert state(queries()["p1_watermarked"](spark, str(tmp_path))) == {(1, "a"): 1}

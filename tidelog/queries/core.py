@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_watermarked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same while the log still runs: only what lies below the contiguous committed watermark."""
-    return replay.replay_state(table(spark, sf_dir, "change_records"), sequence=None)
+    return replay.replay_state(table(spark, sf_dir, "change_records"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ _add("replay_key_updated", lambda s, d: messages(s, d).filter("rec_type = 1").se
 _add("replay_changed_columns", lambda s, d: messages(s, d).filter("before_img is not null and after_img is not null").select("log_offset", F.array_join(images.changed_columns(), ",").alias("v")), f"{_M} select log_offset, concat_ws(',', " + ", ".join(f"case when before_img.{c} is distinct from after_img.{c} then '{c}' end" for c in images.IMAGE) + ") as v from message where before_img is not null and after_img is not null")
 _add("replay_transactions", lambda s, d: replay.transaction_report(table(s, d, "change_records")), f"""{_M} select txn_id, min(log_offset) as first_offset, max(log_offset) as last_offset, count(*) filter (rec_type in (0, 1, 2, 3)) as n_changes, min(log_offset) filter (rec_type = 6) as commit_offset, min(log_offset) filter (rec_type = 7) as rollback_offset,
     case when count(*) filter (rec_type = 6) > 0 then 'committed' when count(*) filter (rec_type = 7) > 0 then 'rolled_back' else 'open' end as outcome from message where txn_id is not null group by 1""")
-_add("replay_watermark", lambda s, d: replay.watermark(table(s, d, "change_records"), None), f"""{_M}, t as (select min(log_offset) as f, count(*) filter (rec_type in (6, 7)) as e from message where txn_id is not null group by txn_id)
+_add("replay_watermark", lambda s, d: replay.watermark(table(s, d, "change_records")), f"""{_M}, t as (select min(log_offset) as f, count(*) filter (rec_type in (6, 7)) as e from message where txn_id is not null group by txn_id)
 select least((select max(log_offset) from message), coalesce(min(f) filter (e = 0) - 1, 9223372036854775807)) as through from t""")
 _add("apply_conflict_edges", lambda s, d: apply.conflict_edges(messages(s, d)), f"""{_TOUCH}, place as (select txn_id, max(log_offset) as place from message where txn_id is not null group by 1),
 k as (select distinct table_id, key, m.txn_id, place from touch join message m using (log_offset) join place p on p.txn_id = m.txn_id),
