@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 
 
@@ -32,17 +34,34 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def put_once(spark: SparkSession, path: str, text: str) -> None:
-    """Publish a file whole: written aside, then renamed. Fails if another writer was first."""
+    """Make a file that isn't there yet: the file system refuses to create it twice, so of two writers one fails with FileExistsError.
+
+    A writer lost in the middle leaves a file that is no whole JSON; numbered_json() passes over it.
+    """
     _, fs, p = _fs(spark, path)
-    if fs.exists(p):
-        raise FileExistsError(path)
-    jvm, _, aside = _fs(spark, f"{path}.tmp")
     fs.mkdirs(p.getParent())
-    stream = fs.create(aside, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    if not fs.rename(aside, p):
-        raise FileExistsError(path)
+    try:
+        stream = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):
+            raise FileExistsError(path) from e
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def numbered_json(spark: SparkSession, folder: str) -> tuple[dict | None, int]:
+    """(the whole file with the greatest number, the next number that is free) of a folder of N.json files."""
+    numbers = sorted((int(n.split(".")[0]) for n in list_names(spark, folder) if n.endswith(".json")), reverse=True)
+    following = numbers[0] + 1 if numbers else 1
+    for n in numbers:
+        try:
+            return json.loads(read_text(spark, f"{folder}/{n}.json")), following
+        except ValueError:
+            continue  # its writer was lost
+    return None, following
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -23,6 +23,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.pending_messages(table(spark, sf_dir, "change_records"), table(spark, sf_dir, "consumer_runs"))
 
 
+def p2_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as it arrives in three parts, taken by runs of which one is lost after its plan and one before its commit mark: what the sink holds.
+
+    Source partitions are the log files, positions in them the order of delivery; later parts hold copies of earlier messages and messages that land late.
+    """
+    changes = table(spark, sf_dir, "change_records").select("delivery_id", "log_offset", "record_id").filter(F.col("log_offset").isNotNull())
+    last = changes.agg(F.max("delivery_id")).first()[0] or 0
+    root, file = scratch(spark, "recovered"), F.shiftright("log_offset", 44)
+    run = lambda: incremental.IncrementalRun(spark, root, ("log_offset",), partition=file, bucket=file)
+    arrived = lambda share: changes.filter(F.col("delivery_id") <= last * share // 3)
+    for share, fault in ((1, "plan"), (1, None), (2, "sink"), (3, None), (3, None), (3, None)):
+        try:
+            run().run(arrived(share), fail_after=fault)
+        except RuntimeError:
+            continue  # a new driver goes on
+    return run().sink().select("log_offset", "delivery_id", "batch")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = table(spark, sf_dir, "change_records")
     return delivery.duplicates(changes, scratch(spark, "deliveries"), F.to_date("arrived_at"), ["record_id", "txn_id"])
@@ -63,13 +81,15 @@ def p6_orphans_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_counts(refs, table(spark, sf_dir, "table_meta"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermarked, p2_found, p3_found, p4_found, p5_found, p5_failed_casts, p5_registry_differences, p6_found, p6_orphans_by_day)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermarked, p2_found, p2_recovered, p3_found, p4_found, p5_found, p5_failed_casts, p5_registry_differences, p6_found, p6_orphans_by_day)}
 
 _MESSAGES = "with msg as (select log_offset, arg_min({'txn_id': txn_id, 'rec_type': rec_type, 'table_meta_id': table_meta_id, 'row_key': row_key, 'old_key': old_key, 'ts': ts}, delivery_id) as m from change_records where log_offset is not null group by log_offset), message as (select log_offset, m.txn_id, m.rec_type, m.table_meta_id, m.row_key, m.old_key, m.ts from msg)"
 
 _REPLAY = """{messages},
 txn as (select txn_id, min(log_offset) as first_offset, min(log_offset) filter (rec_type = 6) as commit_offset, min(log_offset) filter (rec_type = 7) as rollback_offset from message where txn_id is not null group by txn_id),
-mark as (select least(coalesce(min(first_offset) filter (commit_offset is null and rollback_offset is null) - 1, 9223372036854775807), (select max(log_offset) from message)) as through from txn),
+num as (select record_id, max(log_offset) as pos from message where record_id is not null group by record_id),
+gap as (select arg_min(pos, record_id) as held from (select *, lead(record_id) over (order by record_id) as following from num) where following > record_id + 1),
+mark as (select least(coalesce(min(first_offset) filter (commit_offset is null and rollback_offset is null) - 1, 9223372036854775807), coalesce((select held from gap), 9223372036854775807), (select max(log_offset) from message)) as through from txn),
 applied as (select * from message where rec_type in (0, 1, 2, 3) and txn_id in (select txn_id from message where rec_type = 6 and txn_id is not null{limit})),
 touch as (
     select table_meta_id >> 16 as table_id, row_key, log_offset, rec_type <> 2 as is_set from applied
@@ -97,6 +117,9 @@ done as (select consumer_id, r.a as a, r.z as z from last where r.s = 'succeeded
 seen as (select distinct d.consumer_id, c.log_offset from done d join change_records c on c.delivery_id between d.a and d.z)
 select k.consumer_id, c.log_offset from (select distinct consumer_id from consumer_runs) k, (select distinct log_offset from change_records where log_offset is not null) c
 where not exists (select 1 from seen s where s.consumer_id = k.consumer_id and s.log_offset = c.log_offset)""",
+    "p2_recovered": """with top as (select max(delivery_id) as m from change_records where log_offset is not null),
+part as (select log_offset, delivery_id, case when delivery_id <= m // 3 then 1 when delivery_id <= m * 2 // 3 then 2 else 3 end as batch from change_records, top where log_offset is not null and delivery_id is not null)
+select log_offset, min(delivery_id) as delivery_id, min(batch) as batch from part group by log_offset""",
     "p3_found": "select delivery_id from change_records qualify row_number() over (partition by log_offset order by delivery_id) > 1",
     "p4_found": f"""{_MESSAGES},
 event as (select log_offset, table_meta_id >> 16 as table_id from message where rec_type in (0, 1, 2, 3)),
