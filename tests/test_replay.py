@@ -63,6 +63,11 @@ def test_first_gap_over_buckets(spark, missing):
     assert found == ([(min(missing) - 1) * 10] if missing else [])
 
 
+def test_a_gap_of_any_width_costs_nothing(spark):
+    df = spark.createDataFrame([(1, 10), (2, 20), (10**17, 30), (10**17 + 1, 40), (None, 50)], "record_id long, log_offset long")
+    assert [r.held_after for r in replay.first_gap(df).collect()] == [20]
+
+
 def test_random_logs_equal_a_model(spark):
     rng = random.Random(3)
     for _ in range(3):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.plans.common import DML, counting_messages
+from tidelog.plans.common import DML, counting_messages, materialize
 
 INSERT, UPDATE, DELETE, REPLACE, DDL, BEGIN, COMMIT, ROLLBACK = range(8)
 _COLUMNS = ["record_id", "txn_id", "rec_type", "table_meta_id", "row_key", "old_key"]
@@ -30,55 +30,58 @@ def transactions(messages: DataFrame) -> DataFrame:
 def first_gap(messages: DataFrame, sequence: str = "record_id", bucket_rows: int = 65_536) -> DataFrame:
     """The offset of the last message before the first missing number of a dense ``sequence``, as one row (held_after); no row where nothing is missing.
 
-    Numbers are counted by buckets first, so that only the earliest bucket that lacks one is ordered: no global sort or window.
+    Numbers are counted by buckets first, so that only the earliest bucket that lacks one is looked into: no global sort or window, and nothing grows
+    with the width of a gap. A number shows a gap if its successor is missing and it isn't the last.
     """
     numbered = messages.filter(F.col(sequence).isNotNull()).groupBy(F.col(sequence).alias("_n")).agg(F.max("log_offset").alias("_at"))
     numbered = numbered.withColumn("_bucket", F.floor(F.col("_n") / bucket_rows).cast("long"))
-    ends = numbered.agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"))
-    per = numbered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("have"))
-    every = ends.filter(F.col("lo").isNotNull()).select("lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / bucket_rows).cast("long"), F.floor(F.col("hi") / bucket_rows).cast("long"))).alias("_bucket"))
-    want = F.least("hi", (F.col("_bucket") + 1) * bucket_rows - 1) - F.greatest("lo", F.col("_bucket") * bucket_rows) + 1
-    short = every.join(per, "_bucket", "left").filter(F.coalesce("have", F.lit(0)) < want).agg(F.min("_bucket").alias("_bucket"), F.min("lo").alias("lo")).filter(F.col("_bucket").isNotNull())
-    near = short.select(F.explode(F.array(F.col("_bucket"), F.col("_bucket") - 1)).alias("_bucket"), F.greatest("lo", F.col("_bucket") * bucket_rows).alias("_from"))
-    # within the bucket: the number before the first one whose successor is missing (bounded by two buckets)
-    local = numbered.join(F.broadcast(near), "_bucket")
+    per = numbered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("have"), F.min("_n").alias("lo"), F.max("_n").alias("hi"))
+    following = per.select((F.col("_bucket") - 1).alias("_bucket"), F.col("lo").alias("next_lo"))
+    # a bucket lacks a number inside, or the one after its last; the very last number lacks its successor too, and is told by _greatest
+    lacks = (F.col("hi") - F.col("lo") + 1 > F.col("have")) | F.col("next_lo").isNull() | (F.col("next_lo") > F.col("hi") + 1)
+    near = per.join(following, "_bucket", "left").agg(F.min(F.when(lacks, F.col("_bucket"))).alias("_bucket"), F.max("hi").alias("_greatest"))
+    local = numbered.join(F.broadcast(near), "_bucket")  # one row is broadcast, one bucket is left
     successor = local.select((F.col("_n") - 1).alias("_n"), F.lit(True).alias("_next"))
-    last = local.join(successor, "_n", "left").filter(F.col("_next").isNull() & (F.col("_n") >= F.col("_from") - 1))
-    return last.agg(F.min_by("_at", "_n").alias("held_after")).filter(F.col("held_after").isNotNull())
+    held = local.join(successor, "_n", "left").filter(F.col("_next").isNull() & F.col("_greatest").isNotNull())
+    return held.agg(F.min_by("_at", "_n").alias("held_after"), F.min("_n").alias("_n"), F.max("_greatest").alias("_greatest")).filter("_n < _greatest").select("held_after")
 
 
-def watermark(changes: DataFrame, sequence: str | None = "record_id") -> DataFrame:
+def watermark(changes: DataFrame, sequence: str | None = "record_id", log_ended: bool = False) -> DataFrame:
     """The contiguous committed watermark as one row (through bigint).
 
-    State may be exposed up to and with ``through``: below it every transaction has ended and no number of ``sequence``
-    (dense at the source; None: not checked) is missing. An empty log gives a null.
+    State may be exposed up to and with ``through``: below it every transaction has ended and no number of ``sequence`` (dense at the source and growing
+    with log_offset; None: not checked) is missing. With ``log_ended`` nothing more will come: what is missing or open then stays so, holds nothing any longer,
+    and the last watermark is the end of the log. An empty log gives a null.
     """
-    messages = counting_messages(changes, _COLUMNS)
+    return _watermark(counting_messages(changes, _COLUMNS), sequence, log_ended)
+
+
+def _watermark(messages: DataFrame, sequence: str | None, log_ended: bool) -> DataFrame:
     txns = transactions(messages)
     open_from = txns.filter(F.col("commit_offset").isNull() & F.col("rollback_offset").isNull()).agg((F.min("first_offset") - 1).alias("at"))
     bounds = open_from.unionAll(messages.agg(F.max("log_offset").alias("at")))
     if sequence:
         bounds = bounds.unionAll(first_gap(messages, sequence).select(F.col("held_after").alias("at")))
-    return bounds.agg(F.min("at").alias("through"))
+    held = bounds.agg(F.min("at").alias("through"), F.max("at").alias("end"))
+    return held.select((F.greatest("through", "end") if log_ended else F.col("through")).alias("through"))
 
 
 def replay_state(changes: DataFrame, log_ended: bool = False, sequence: str | None = "record_id", through: int | None = None) -> DataFrame:
     """The rows each table holds after all whole committed transactions: table_id bigint, row_key string, log_offset bigint.
 
-    Messages count once (smallest delivery_id). A transaction counts with its COMMIT; its changes apply by log_offset
-    whatever the order of delivery. With ``log_ended`` no more deliveries will come: open transactions are abandoned and gaps are
-    final, so everything committed is exposed. Otherwise only transactions whose COMMIT lies at or below watermark() are.
+    Messages count once (smallest delivery_id). Transactions are assembled whole, each counting with its COMMIT; their changes apply by log_offset
+    whatever the order of delivery. Only transactions whose COMMIT lies at or below watermark() are exposed: those behind a missing number of
+    ``sequence`` or an open transaction are held. With ``log_ended`` the end of the log is the last watermark and releases what was held.
     ``through`` bounds the COMMITs further (time travel).
 
     Null transaction ids belong to no transaction; null keys and null table ids name no row; an empty old_key counts as not filled; an
     empty log gives no rows; further columns are ignored. Keys never conflict across (table, key), so each is folded on its own:
     the last touch wins, by a map-side combined maximum of ``log_offset * 2 + is_set``.
     """
-    messages = counting_messages(changes, _COLUMNS)
+    messages = materialize(counting_messages(changes, _COLUMNS), "messages")
+    limit = _watermark(messages, sequence, log_ended).select(F.col("through").alias("_through"))  # one row
     ended = messages.filter((F.col("rec_type") == COMMIT) & F.col("txn_id").isNotNull())
-    if not log_ended:
-        limit = watermark(changes, sequence).select(F.col("through").alias("_through"))
-        ended = ended.join(F.broadcast(limit), F.col("log_offset") <= F.col("_through"))
+    ended = ended.join(F.broadcast(limit), F.col("log_offset") <= F.col("_through"))
     if through is not None:
         ended = ended.filter(F.col("log_offset") <= through)
     committed = ended.select("txn_id").distinct()
