@@ -28,9 +28,13 @@ asof left join restated s on e.table_id = s.table_id and e.log_offset >= s.start
 
 def _joined(where: str):
     def run(events, attrs):
+        import shutil
+        import tempfile
+
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        spill = tempfile.mkdtemp(prefix="asof-")  # private to this task and gone with it
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill})
         try:
             con.register("events", events)
             con.register("attrs", attrs)
@@ -38,6 +42,7 @@ def _joined(where: str):
             return found.read_all() if hasattr(found, "read_all") else found
         finally:
             con.close()
+            shutil.rmtree(spill, ignore_errors=True)
 
     return run
 
@@ -53,7 +58,7 @@ def attributes_at(events: DataFrame, revisions: DataFrame, only_restated: bool =
 
     Entities are hashed to buckets of about ``bucket_events`` events; an entity with more is spread over several, each with a copy of its revisions.
     """
-    events = events.select("table_id", "log_offset").filter(F.col("log_offset").isNotNull())
+    events = materialize(events.select("table_id", "log_offset").filter(F.col("log_offset").isNotNull()), "events")  # two narrow columns, read twice
     revisions = revisions.select("table_id", "start_offset", "known_offset", "revision_id").dropna(subset=["table_id", "start_offset", "known_offset"]).distinct()
     per = materialize(events.groupBy("table_id").agg(F.count(F.lit(1)).alias("n")), "entities")
     total = per.agg(F.sum("n")).first()[0] or 0
@@ -63,7 +68,7 @@ def attributes_at(events: DataFrame, revisions: DataFrame, only_restated: bool =
     bucket = F.pmod(F.xxhash64("table_id", "part"), F.lit(n_buckets)).cast("int")
     left = lookup_join(events, spread, ["table_id"], "left", F.col("log_offset"))
     left = left.withColumn("part", F.pmod(F.xxhash64("log_offset"), own.cast("long")).cast("int")).select("table_id", "log_offset", bucket.alias("bucket"))
-    right = revisions.join(spread, "table_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), own - 1)))
+    right = lookup_join(revisions, spread, ["table_id"], "left", F.col("start_offset")).withColumn("part", F.explode(F.sequence(F.lit(0), own - 1)))
     right = right.select("table_id", "start_offset", "known_offset", "revision_id", bucket.alias("bucket")).distinct()
     where = "where known_revision is distinct from restated_revision" if only_restated else ""
     joined = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_joined(where), "log_offset bigint, known_revision bigint, restated_revision bigint")

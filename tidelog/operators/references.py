@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,16 +23,11 @@ def catalog_epochs(catalog: DataFrame) -> DataFrame:
     return rows.withColumn("epoch_dropped", last["is_drop"])
 
 
-def valid_references(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(starts, valid): the sorted epoch starts of each table, and the parent keys (table_meta_id, epoch) a reference may hold in each epoch.
-
-    A table has at most 65,536 versions, as a version is the lower 16 bits of the id: that bounds the starts.
-    """
-    versions = catalog_epochs(catalog)
-    starts = versions.groupBy("table_id").agg(F.array_sort(F.collect_set("start_offset")).alias("starts"))
-    open_epochs = versions.filter(~F.col("epoch_dropped")).select("table_id", F.col("epoch").alias("at")).distinct()
-    valid = versions.join(open_epochs, "table_id").filter(F.col("at") >= F.col("epoch")).select("table_meta_id", F.col("at").alias("epoch"))
-    return starts, valid.distinct()
+def epoch_at(starts: Column, position: Column, most: int) -> Column:
+    """How many of the sorted ``starts`` (at most ``most``) are at or before ``position``: a binary search, so a table with many versions costs few steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))))
+    further = lambda at, step: F.when(F.coalesce(F.get(starts, at + step - 1) <= position, F.lit(False)), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def orphan_references(references: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -41,17 +36,22 @@ def orphan_references(references: DataFrame, catalog: DataFrame) -> DataFrame:
     A reference is an orphan if its version is not in the catalog, starts after it, or its table's last version by then marks a drop. A null
     reference refers to nothing and is no orphan. The table is ``table_meta_id >> 16``. References are reduced to distinct (key, epoch) pairs
     before the anti-join against the parents, and the orphans among these are joined back; the epoch is the number of versions of the table that
-    had started. Repeated references give repeated rows; an empty catalog makes every reference an orphan.
+    had started, at most 65,536, as a version is the lower 16 bits of the id. A parent is there from its own epoch on, and a dropped epoch has none: as many
+    parent rows as versions. Repeated references give repeated rows; an empty catalog makes every reference an orphan.
     """
-    starts, valid = valid_references(catalog)
-    keyed = references.filter(F.col("table_meta_id").isNotNull()).withColumn("_table", F.shiftright("table_meta_id", 16))
-    keyed = lookup_join(keyed, starts.withColumnRenamed("table_id", "_table"), ["_table"], "left", F.col("log_offset"))
-    epoch = F.coalesce(F.size(F.filter("starts", lambda s: s <= F.col("log_offset"))), F.lit(0))
-    keyed = keyed.withColumn("_epoch", F.when(F.col("starts").isNull(), 0).otherwise(epoch)).drop("starts", "_table")
-    keys = keyed.select("table_meta_id", "_epoch").distinct()
-    orphans = keys.join(valid.withColumnRenamed("epoch", "_epoch"), ["table_meta_id", "_epoch"], "left_anti")
-    orphans = materialize(orphans, "orphans")  # else counting them would read all references once more
-    return lookup_join(keyed, orphans, ["table_meta_id", "_epoch"], "left_semi", F.col("log_offset")).drop("_epoch")
+    versions = materialize(catalog_epochs(catalog), "versions")
+    starts = versions.groupBy("table_id").agg(F.array_sort(F.collect_set("start_offset")).alias("starts"))
+    most = starts.agg(F.max(F.size("starts"))).first()[0] or 0
+    rows = references.filter(F.col("table_meta_id").isNotNull()).withColumn("_table", F.shiftright("table_meta_id", 16))
+    rows = lookup_join(rows, starts.withColumnRenamed("table_id", "_table"), ["_table"], "left", F.col("log_offset"))
+    rows = rows.withColumn("_epoch", F.when(F.col("starts").isNull(), 0).otherwise(epoch_at(F.col("starts"), F.col("log_offset"), most))).drop("starts")
+    keyed = materialize(rows, "references")  # read twice below
+    keys = keyed.select("table_meta_id", "_table", "_epoch").distinct()
+    parents = versions.groupBy("table_meta_id").agg(F.min("epoch").alias("_from"))
+    dropped = versions.filter("epoch_dropped").select(F.col("table_id").alias("_table"), F.col("epoch").alias("_epoch"), F.lit(True).alias("_dropped")).distinct()
+    there = keys.join(parents, "table_meta_id").filter("_from <= _epoch").join(dropped, ["_table", "_epoch"], "left_anti").select("table_meta_id", "_epoch")
+    orphans = materialize(keys.join(there, ["table_meta_id", "_epoch"], "left_anti").select("table_meta_id", "_epoch"), "orphans")
+    return lookup_join(keyed, orphans, ["table_meta_id", "_epoch"], "left_semi", F.col("log_offset")).drop("_epoch", "_table")
 
 
 def orphan_counts(references: DataFrame, catalog: DataFrame, time: str = "ts") -> DataFrame:
