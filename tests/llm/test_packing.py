@@ -23,6 +23,42 @@ def test_windows_rise_until_none_is_too_full():
     assert list(packing.fill(np.zeros(0, np.int64), 10)) == []
 
 
+def first_fit(sizes, capacity):
+    room = []
+    for x in sorted(sizes, reverse=True):
+        k = next((k for k, r in enumerate(room) if r >= x), None)
+        if k is None:
+            room.append(capacity)
+            k = -1
+        room[k] -= x
+    return len(room)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_no_more_windows_than_first_fit_and_no_fewer_than_the_bound(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 500, 300) if seed % 2 else (rng.lognormal(5.5, 0.6, 300).astype(np.int64) % 1000 + 1)
+    window = packing.fill(sizes, 1000)
+    held = np.bincount(window, weights=sizes)
+    assert held.max() <= 1000 and len(window) == 300
+    assert packing.fewest(sizes, 1000) <= len(held) <= first_fit(sizes.tolist(), 1000)
+
+
+@pytest.mark.parametrize(("sizes", "least"), [([60] * 5, 5), ([51, 51, 50], 3), ([90, 90, 20, 20], 3), ([10] * 10, 1), ([100], 1), ([70, 70, 40, 40], 3)])
+def test_fewest(sizes, least):
+    assert packing.fewest(np.array(sizes), 100) == least == len(set(packing.fill(np.array(sizes), 100)))
+
+
+def test_more_kinds_than_a_thousand(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    kinds = spark.createDataFrame([(f"k{k}", 5 + k, None) for k in range(1_001)], "kind string, capacity_tokens int, tokens_between int")
+    try:
+        found = packing.pack_kinds(docs, kinds.unionAll(kinds.limit(1)))
+    except OSError:
+        pytest.skip("no tokenizer files")
+    assert found.groupBy("kind").count().filter("count = 2").count() == 1_001
+
+
 def pack(spark, sizes, capacity, between=0, **more):
     df = spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "doc_id long, tokens long")
     return [r.asDict() for r in packing.pack(df, capacity, between, **more).collect()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import os
 
 import numpy as np
@@ -16,7 +17,9 @@ from tidelog.plans.common import materialize, spread
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: Documents differenced together; bounds what one task holds of a group.
-GROUP_ITEMS = 512
+GROUP_ITEMS = 4_096
+#: Of the emptiest windows, how many are looked at for a place to gather room in.
+TRIED = 6
 
 #: Fixed value: the public pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -80,19 +83,125 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window, heap[0][2]
 
 
+def fewest(sizes: np.ndarray, capacity: int) -> int:
+    """A number of windows below which ``sizes`` can't fit: by their sum, and by those above half the capacity, which share no window, together with what
+    is too large to join them (for each size that may bound "too large")."""
+    s = np.sort(sizes)[::-1]
+    best = max(1, -(-int(s.sum()) // capacity))
+    large = s[2 * s > capacity]
+    total = np.concatenate([[0], np.cumsum(s)])
+    for t in np.unique(s[2 * s <= capacity]).tolist():
+        alone = int(np.count_nonzero(large > capacity - t))
+        free = (len(large) - alone) * capacity - int(total[len(large)] - total[alone])
+        rest = int(total[np.count_nonzero(s >= t)] - total[len(large)])
+        best = max(best, len(large) + max(0, -(-(rest - free) // capacity)))
+    return max(best, len(large))
+
+
+def _handfuls(window: np.ndarray, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What may leave a window at once, as two places in ``window`` (-1: none): one size, and with ``pairs`` two of one window too."""
+    order = np.argsort(window, kind="stable")
+    one, two = [order], [np.full(len(order), -1)]
+    apart = 1
+    while pairs and apart < len(order):
+        both = window[order[apart:]] == window[order[:-apart]]
+        if not both.any():
+            break
+        one.append(order[:-apart][both])
+        two.append(order[apart:][both])
+        apart += 1
+    return np.concatenate(one), np.concatenate(two)
+
+
+class _Windows:
+    """Sizes in windows, changed step by step."""
+
+    def __init__(self, sizes: np.ndarray, window: np.ndarray, k: int, capacity: int, most: int):
+        self.sizes, self.window, self.capacity, self.most = np.append(sizes, 0), window.copy(), capacity, most
+        self.sums = np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
+        self.few = (np.bincount(window, minlength=k) ** 2).sum() <= 2 * most
+
+    def step(self, w: int, score) -> bool:
+        """The exchange between window ``w`` and another that ``score``(sums of w after it, sums of the other before and after it) rates highest, if above 0."""
+        for pairs in (False, True) if self.few else (False,):
+            one, two = _handfuls(self.window, pairs)
+            own, places = self.window[one] == w, np.flatnonzero(np.arange(len(self.sums)) != w)
+            nothing = np.full(len(places), -1)
+            mine, other = (one[own], two[own]), (np.concatenate([one[~own], nothing]), np.concatenate([two[~own], nothing]))
+            if not len(mine[0]) or not len(other[0]):
+                continue
+            v = np.concatenate([self.window[one[~own]], places])
+            change = (self.sizes[mine[0]] + self.sizes[mine[1]])[:, None] - (self.sizes[other[0]] + self.sizes[other[1]])[None, :]
+            rated = score(self.sums[w] - change, self.sums[v][None, :], self.sums[v][None, :] + change)
+            i, j = np.unravel_index(rated.argmax(), rated.shape)
+            if rated[i, j] > 0:
+                self.window[[x for x in (other[0][j], other[1][j]) if x >= 0]] = w
+                self.window[[x for x in (mine[0][i], mine[1][i]) if x >= 0]] = v[j]
+                self.sums[w] -= change[i, j]
+                self.sums[v[j]] += change[i, j]
+                return True
+        return False
+
+    def relieve(self) -> bool:
+        """Shrink what lies above the capacity, at the fullest window; of equal exchanges the one that leaves the other window fullest."""
+        w, c = int(self.sums.argmax()), self.capacity
+        over = lambda x: np.maximum(x - c, 0)
+        gain = lambda ours, before, after: over(self.sums[w]) + over(before) - over(ours) - over(after)
+        return self.step(w, lambda ours, before, after: np.where(gain(ours, before, after) > 0, gain(ours, before, after) * (2 * c + 1) + np.minimum(after, c), 0))
+
+    def gather(self) -> bool:
+        """Make one place emptier and another fuller, none above the capacity: at the first of the emptiest windows where that can be done."""
+        c = self.capacity
+        for w in np.argsort(self.sums, kind="stable")[:TRIED].tolist():
+            if self.sums[w] <= c and self.step(w, lambda ours, before, after: np.where((after <= c) & (after > np.maximum(before, ours + after - before)), after - before, 0)):
+                return True
+        return False
+
+
+def first_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The window of each size, from the largest down each in the first with room for it."""
+    room, window, used = np.zeros(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
+    for i in np.argsort(-sizes, kind="stable"):
+        fits = np.flatnonzero(room[:used] >= sizes[i])
+        if not len(fits):
+            room[used], used, fits = capacity, used + 1, (used,)
+        window[i] = fits[0]
+        room[fits[0]] -= sizes[i]
+    return window
+
+
+def settle(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int, most: int = 50_000) -> np.ndarray | None:
+    """``window`` changed until none of its ``k`` is too full; None where no step helps any more.
+
+    A step exchanges one size or two of a window for none, one or two of another: what lies above the capacity shrinks, or where that can't be, free places
+    are gathered in one window. Each step of the second kind raises the squares of the sums and those of the first lower the excess, so they come to an end. Twos
+    are tried while there are at most ``most`` of them.
+    """
+    w = _Windows(sizes, window, k, capacity, most)
+    while w.sums.max() > capacity:
+        if not w.relieve() and not w.gather():
+            return None
+    return w.window
+
+
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each size, none above ``capacity``: as few windows as the total needs, one per cent (at least one) more while one is too full."""
+    """The window of each size, none above ``capacity``: differenced into as few windows as may do (see fewest), one more each time they can't be settled.
+
+    Where they can't be settled with as few windows as first fit needs either, its windows are taken: so there are never more.
+    """
     if not len(sizes):
         return np.zeros(0, np.int64)
-    k = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
+    plain = first_fit(sizes, capacity)
+    for k in range(fewest(sizes, capacity), int(plain.max()) + 2):
         window, sums = difference(sizes, k)
-        if sums[0] <= capacity:
-            return window
-        k = max(k + 1, k + k // 100)
+        found = window if sums[0] <= capacity else settle(sizes, window, k, capacity)
+        if found is not None:
+            return found
+    return plain
 
 
-def _pack(table: pa.Table, capacity: int, between: int) -> pa.Table:
+def _pack(table: pa.Table) -> pa.Table:
+    kind, capacity, between = (table.column(c)[0].as_py() for c in ("kind", "capacity", "between"))
     doc, tokens, group = (table.column(c).to_numpy() for c in ("doc_id", "tokens", "grp"))
     order = np.lexsort((tokens, doc))
     doc, tokens = doc[order], tokens[order]
@@ -107,6 +216,7 @@ def _pack(table: pa.Table, capacity: int, between: int) -> pa.Table:
     # full pieces fill a container each, numbered after the shared ones
     used = int(window.max()) + 1 if len(window) else 0
     columns = {
+        "grp": np.full(len(last) + len(owner), group[0]),
         "doc_id": np.concatenate([doc[last], doc[owner]]),
         "piece": np.concatenate([full[last], np.arange(len(owner)) - first[owner]]),
         "n_pieces": np.concatenate([pieces[last], pieces[owner]]),
@@ -114,7 +224,22 @@ def _pack(table: pa.Table, capacity: int, between: int) -> pa.Table:
         "container": np.concatenate([window, used + np.arange(len(owner))]),
     }
     columns = {name: pa.array(values.astype(np.int64)) for name, values in columns.items()}
-    return pa.table({"grp": pa.array(np.full(len(columns["doc_id"]), group[0] if len(group) else 0, np.int64)), **columns})
+    return pa.table({"kind": pa.array([kind] * len(columns["grp"]), pa.string()), **columns})
+
+
+def _pack_all(counts: DataFrame, kinds: list[tuple[str | None, int, int]], group_items: int) -> DataFrame:
+    rows = counts.dropna(subset=["doc_id", "tokens"])
+    n_groups = max(1, -(-rows.count() // group_items))
+    place = F.struct("doc_id", "tokens")
+    # repeated ids are spread as well
+    grouped = rows.select("doc_id", "tokens", F.pmod(F.xxhash64(place), F.lit(n_groups)).alias("grp"))
+    told = json.dumps([{"kind": k, "capacity": c, "between": b} for k, c, b in kinds])
+    grouped = grouped.select("*", F.inline(F.from_json(F.lit(told), "array<struct<kind: string, capacity: bigint, between: bigint>>")))
+    # a few bytes a document, but much work: a number of tasks of its own, which isn't coalesced by size
+    n = n_groups * max(1, len(kinds))
+    key = ["kind", "capacity", "between", "grp"]
+    grouped = grouped.repartition(min(n, max(2 * counts.sparkSession.sparkContext.defaultParallelism, n // 64)), *key)
+    return grouped.groupBy(*key).applyInArrow(_pack, "kind string, grp bigint, doc_id bigint, piece bigint, n_pieces bigint, tokens bigint, container bigint")
 
 
 def pack(counts: DataFrame, capacity: int, between: int, group_items: int = GROUP_ITEMS) -> DataFrame:
@@ -125,27 +250,16 @@ def pack(counts: DataFrame, capacity: int, between: int, group_items: int = GROU
     without tokens take a place too. Groups of about ``group_items`` documents, drawn by hash of id and size and so
     alike in sizes, are packed each by itself: the loss is a part of one container a group.
     """
-    rows = counts.dropna(subset=["doc_id", "tokens"])
-    n_groups = max(1, -(-rows.count() // group_items))
-    place = F.struct("doc_id", "tokens")
-    # repeated ids are spread as well
-    grouped = rows.select("doc_id", "tokens", F.pmod(F.xxhash64(place), F.lit(n_groups)).alias("grp"))
-    # a few bytes a document, but much work: a number of tasks of its own, which isn't coalesced by size
-    tasks = min(n_groups, max(2 * counts.sparkSession.sparkContext.defaultParallelism, n_groups // 64))
-    grouped = grouped.repartition(tasks, "grp")
-    schema = "grp bigint, doc_id bigint, piece bigint, n_pieces bigint, tokens bigint, container bigint"
-    return grouped.groupBy("grp").applyInArrow(lambda t: _pack(t, capacity, between), schema)
+    return _pack_all(counts, [(None, capacity, between)], group_items).drop("kind")
 
 
-def pack_kinds(documents: DataFrame, kinds: DataFrame, only: str | None = None, **settings) -> DataFrame:
+def pack_kinds(documents: DataFrame, kinds: DataFrame, only: str | None = None, group_items: int = GROUP_ITEMS) -> DataFrame:
     """pack() for each row of ``kinds`` (kind, capacity_tokens, tokens_between), in one measure of the texts, with the column kind.
 
-    Kinds with a null or no positive capacity hold nothing and are left out; a null number of tokens between is 0.
+    Any number of kinds is packed, in one plan; the driver holds the kinds, which are settings. Kinds with a null or no positive capacity hold nothing and are
+    left out; a null number of tokens between is 0; repeated rows count once.
     """
     counts = materialize(token_counts(documents), "tokens")
     chosen = kinds if only is None else kinds.filter(F.col("kind") == only)
-    out = None
-    for k in chosen.filter("capacity_tokens > 0").orderBy("kind").limit(1_000).collect():  # container kinds are settings, not data
-        packed = pack(counts, k.capacity_tokens, k.tokens_between or 0, **settings).withColumn("kind", F.lit(k.kind))
-        out = packed if out is None else out.unionByName(packed)
-    return out if out is not None else pack(counts.limit(0), 1, 0).withColumn("kind", F.lit(None).cast("string"))
+    chosen = chosen.filter("capacity_tokens > 0").select("kind", "capacity_tokens", F.coalesce("tokens_between", F.lit(0)).alias("between")).distinct()
+    return _pack_all(counts, [tuple(r) for r in chosen.collect()], group_items)
