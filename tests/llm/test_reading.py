@@ -61,9 +61,34 @@ def test_agreed_bands(spark, labels):
     assert reading.agreed_bands(mixed).count() == 0
 
 
-@pytest.mark.parametrize(("sentence", "expected"), [("the river of the town is wide and this is old", True), ("der Fluss und die Stadt sind alt", False), ("le cas et la borne est dans un champ", False), ("lorem ipsum dolor sit amet", False), ("", False)])
+SPEECH = {
+    "en": "the river of the town is wide and this bridge is old but we cross it each day with a small cart and the miller waves to us from his house",
+    "de": "der Fluss und die Stadt sind alt und wir gehen jeden Tag mit einem kleinen Wagen durch das Tor weil der Markt am Ende der Gasse liegt",
+    "fr": "le moulin et la rive sont dans un champ et nous passons chaque jour avec une petite charrette pour aller au bourg mais sans notre ami",
+}
+
+
+def languages():
+    return reading.language_rates([(k, w, text.split().count(w)) for k, text in SPEECH.items() for w in markup.words(text)] * 3)
+
+
+@pytest.mark.parametrize(("sentence", "expected"), [("this old bridge is wide and we wave to the miller", True), ("die alte Stadt und der Wagen sind klein", False), ("le moulin est dans la rive", False), ("lorem ipsum dolor sit amet is", False), ("", False)])
 def test_english(sentence, expected):
-    assert reading.english(markup.words(sentence)) is expected
+    assert languages().english(markup.words(sentence)) is expected
+
+
+def test_languages_whatever_some_labels_say(spark):
+    rng = random.Random(5)
+    made, graded = [], []
+    for k in range(90):
+        own = ("en", "de", "fr")[k % 3]
+        words = SPEECH[own].split()
+        said = {0: None, 1: "de", 2: "EN ", 3: "und", 4: "x"}.get(k // 3, own)
+        made.append((k, " ".join(rng.choice(words) for _ in range(60)), said))
+        graded += [(k, 1, k // 3 % 4 + 1)] if own == "en" and k < 30 else []
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(graded, "doc_id long, rater_id int, band int")
+    assert sorted(r.doc_id for r in reading.reading_levels(docs, labels).collect()) == list(range(0, 90, 3))
 
 
 def test_quantiles_of_known_words():

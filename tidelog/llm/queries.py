@@ -19,13 +19,13 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).filter("not paraphrase").select("doc_id", "item_id")
 
 
 def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each item leaked, and how much of it at most."""
     found = leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("share").alias("largest_share"), F.count_if("answered").alias("n_with_answer"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("share").alias("largest_share"), F.count_if("answered").alias("n_with_answer"), F.count_if("paraphrase").alias("n_paraphrased"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

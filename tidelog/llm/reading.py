@@ -17,15 +17,27 @@ QUANTILES = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 #: Graded documents that the grades and the calibration are fitted on, at most (a random part, by hash, of more).
 SAMPLE_DOCUMENTS = 20_000
 
-#: Common function words by language, for telling English prose.
-FUNCTION_WORDS = {
-    "en": "the of and is are that to in for with as by on from this we it which each any when so but our at be an a one no every not while".split(),
-    "de": "der die das und ist ein eine einen dem den des im mit von zu auf nicht kein keine jeder jede dass weil wir wird für sich auch als bei nur".split(),
-    "fr": "le la les et est un une des du de que qui dans pour avec sur ne pas ce cette nous chaque notre par au aux en mais car alors".split(),
-    "es": "el la los las y es un una de del que en para con por no se su este esta pero como más cada".split(),
-    "it": "il lo la gli le e è un una di del della che in per con non si questo questa ma come ogni nostro".split(),
-    "nl": "de het een en is van dat in voor met op niet te zijn door elke elk deze dit maar als wij ons".split(),
-}
+#: Documents of each language that its words are learnt from, at most (likewise).
+LANGUAGE_DOCUMENTS = 2_000
+#: Least share of a text's words that must be known in a language for the text to be in it.
+KNOWN_SHARE = 0.25
+
+
+@dataclass(frozen=True)
+class Languages:
+    """How often words occur in each language, as logarithms of rates; the first language is English."""
+
+    names: tuple[str, ...]
+    place: dict[str, int]
+    rates: np.ndarray  # words x languages
+    known: np.ndarray  # words x languages: whether the word is one of the language's own
+
+    def english(self, words: list[str]) -> bool:
+        """Whether a text is likelier in English than in any other language known, and enough of its words are known in it."""
+        at = [k for k in map(self.place.get, words) if k is not None]
+        if not at or self.known[at, 0].sum() < KNOWN_SHARE * len(words):
+            return False
+        return int(self.rates[at].sum(axis=0).argmax()) == 0
 
 
 @dataclass(frozen=True)
@@ -34,18 +46,7 @@ class Model:
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # calibration of the quantiles: one column for each band
-
-
-def english(words: list[str]) -> bool:
-    """Whether the function words of a text are English rather than of another language known here."""
-    counts = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in words:
-        for language in _LANGUAGES_OF.get(w, ()):
-            counts[language] += 1
-    return counts["en"] >= 0.05 * len(words) and counts["en"] > max(n for language, n in counts.items() if language != "en")
-
-
-_LANGUAGES_OF: dict[str, tuple[str, ...]] = {w: tuple(k for k, own in FUNCTION_WORDS.items() if w in own) for ws in FUNCTION_WORDS.values() for w in ws}
+    languages: Languages
 
 
 def features(words: list[str], grades: dict[str, float]) -> np.ndarray:
@@ -85,27 +86,20 @@ def predict(x: np.ndarray, model: Model) -> np.ndarray:
     return (z @ model.weights).argmax(axis=1) + 1
 
 
-def _prose(batches, least: int):
+def _prose(batches, least: int, languages: Languages | None = None):
+    """The words of the prose of each text with at least ``least`` of them; with ``languages`` only of those in English. Further columns stay."""
     for batch in batches:
-        ids, kept = [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = markup.words(markup.prose(text))
-            if len(words) >= least and english(words):
-                ids.append(doc)
-                kept.append(words)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.list_(pa.string()))], ["doc_id", "words"])
+        rows = [(k, markup.words(markup.prose(text))) for k, text in enumerate(batch.column("text").to_pylist())]
+        kept = [(k, w) for k, w in rows if len(w) >= least and (languages is None or languages.english(w))]
+        rest = batch.drop_columns(["text"]).take(pa.array([k for k, _ in kept], pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([w for _, w in kept], pa.list_(pa.string()))], [*rest.schema.names, "words"])
 
 
 def _graded(batches, model: Model, least: int):
-    for batch in batches:
-        ids, rows = [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = markup.words(markup.prose(text))
-            if len(words) >= least and english(words):
-                ids.append(doc)
-                rows.append(features(words, model.grades))
+    for batch in _prose(batches, least, model.languages):
+        rows = [features(words, model.grades) for words in batch.column("words").to_pylist()]
         band = predict(np.array(rows), model) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band.astype(np.int64))], ["doc_id", "band"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(band.astype(np.int64))], ["doc_id", "band"])
 
 
 def agreed_bands(labels: DataFrame) -> DataFrame:
@@ -115,18 +109,52 @@ def agreed_bands(labels: DataFrame) -> DataFrame:
     return middle.filter(F.col("band") == F.floor("band")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("band").cast("int").alias("band"))
 
 
+def language_rates(counts: list[tuple[str, str, int]], least_count: int = 3, smoothing: float = 0.5) -> Languages:
+    """Languages from (language, word, n). English comes first; a word is a language's own if it isn't ten times as frequent in another one."""
+    names = ("en", *sorted({language for language, _, _ in counts} - {"en"}))
+    total: dict[str, int] = {}
+    for _, word, n in counts:
+        total[word] = total.get(word, 0) + n
+    place = {w: k for k, w in enumerate(sorted(w for w, n in total.items() if n >= least_count))}
+    table = np.full((len(place), len(names)), smoothing)
+    for language, word, n in counts:
+        if word in place:
+            table[place[word], names.index(language)] += n
+    rates = table / table.sum(axis=0)
+    return Languages(names, place, np.log(rates), (table >= 1) & (10 * rates >= rates.max(axis=1, keepdims=True)) if len(place) else table > 0)
+
+
+def fit_languages(documents: DataFrame, graded: DataFrame, least: int, sample: int = LANGUAGE_DOCUMENTS) -> Languages:
+    """The words of each language from documents that say theirs in ``lang``; what is graded is English too. At most about ``sample`` of each are used.
+
+    Labels may be wrong or missing at times: a word counts for a language with its rate, so a few documents under the wrong label hardly move it. Labels
+    are read by their first two letters, whatever the case; "und" and others without two documents that agree say nothing.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang")] if "lang" in documents.columns else [F.lit(None).cast("string").alias("lang")]))
+    said = texts.dropna().filter(F.col("lang").rlike("^[a-z]{2}$") & (F.col("lang") != "un"))
+    n = {r.lang: r.n for r in said.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect() if r.n > 1}  # one row for each two letters
+    share = F.lit(0.0)
+    for language, k in n.items():
+        share = F.when(F.col("lang") == language, min(1.0, sample / k)).otherwise(share)
+    chosen = said.filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "lang", "text")
+    words = spread(chosen).mapInArrow(lambda b: _prose(b, least), "doc_id bigint, lang string, words array<string>").select("lang", "words")
+    words = words.unionAll(graded.select(F.lit("en").alias("lang"), "words"))
+    counted = words.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return language_rates([tuple(r) for r in counted.filter("n > 1").collect()])  # words of the sample
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, least: int = 40, least_count: int = 3) -> Model | None:
-    """Grades of words and their calibration from graded documents; None without any.
+    """Grades of words and their calibration from graded documents, and the words of languages; None without any grade.
 
     Words count with their rates by band; the calibration sees each half of the documents with the grades learnt from the other half. Words that
-    occur fewer than ``least_count`` times are not known. At most about ``sample`` documents are used.
+    occur fewer than ``least_count`` times are not known. At most about ``sample`` graded documents are used, and LANGUAGE_DOCUMENTS of each language.
     """
     bands = agreed_bands(labels)
     n = bands.count()
     if n > sample:
         bands = bands.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
-    chosen = texts.join(F.broadcast(bands), "doc_id")  # bounded by ``sample``
+    chosen = texts.join(F.broadcast(bands), "doc_id").select("doc_id", "text")  # bounded by ``sample``
     band_of = bands.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
     words = materialize(spread(chosen).mapInArrow(lambda b: _prose(b, least), "doc_id bigint, words array<string>").join(F.broadcast(band_of), "doc_id"), "graded")
     counted = words.select("half", "band", F.explode("words").alias("word")).groupBy("word", "half", "band").agg(F.count(F.lit(1)).alias("n"))
@@ -148,13 +176,14 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS,
 
     known = words.mapInArrow(seen, "doc_id bigint, band int, x array<double>").orderBy("doc_id").toPandas()
     centre, scale, weights = calibrate(np.array(known["x"].tolist()), known["band"].to_numpy())
-    return Model(grades(halves[0] + halves[1]), centre, scale, weights)
+    return Model(grades(halves[0] + halves[1]), centre, scale, weights, fit_languages(documents, words, least))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, least: int = 40, model: Model | None = None, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """The band of each English document with at least ``least`` words of prose: doc_id, band (1 to 4).
 
-    Prose is what is outside comments, commands, titles, formulas, tables and bibliography; whether it is English is told by its function words. Documents in
+    Prose is what is outside comments, commands, titles, formulas, tables and bibliography; whether it is English is told by its words, from how often words
+    occur in each language (see fit_languages), not by its label. Documents in
     other languages, with less prose, with a null id or text get no row; so does every document where no grades are given. Repeated ids are graded
     for each of their texts. ``model``: one fitted before, instead of fit().
     """
@@ -162,5 +191,5 @@ def reading_levels(documents: DataFrame, labels: DataFrame, least: int = 40, mod
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
     if model is None:
         return texts.limit(0).select("doc_id", F.lit(0).cast("long").alias("band"))
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # its words are those of at most ``sample`` documents
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # its words are those of a bounded number of documents
     return spread(texts).mapInArrow(lambda b: _graded(b, shared.value, least), "doc_id bigint, band bigint")
