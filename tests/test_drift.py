@@ -66,3 +66,18 @@ def test_registry_differences(spark):
     known = spark.createDataFrame([(65536, "a", 28), (65536, "c", 6), (65536, "a", 28), (65537, "q", 6), (65536, None, 6)], "table_meta_id long, column_name string, col_type int")
     found = {(r.field, r.difference) for r in drift.registry_differences(df, known).collect()}
     assert found == {("a", "other_kind"), ("b", "unregistered"), ("c", "missing")}
+
+
+def test_one_typed_table_for_each_captured_table(spark):
+    first = [{"n": k, "old": f"v{k}", "on": True, "l": [k], "file_id": 1.5} for k in range(4)]
+    c = captures(spark, (10, first), (20, [{"n": k or "x", "new": f"v{k}", "x": {"y": 1}} for k in range(4)]))
+    values = drift.consistent_values(c, drift.field_changes(c))
+    t = drift.consistent_table(values, 1)
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in t.schema][4:] == ["file_id_ double", "l array<string>", "n bigint", "new string", "on boolean", "x string"]
+    found = {(r.log_offset, r.row_key): (r.file_id_, r.l, r.n, r.new, r.on, r.x) for r in t.collect()}
+    assert len(found) == 8
+    assert found[10, "2"] == (1.5, ["2"], 2, "v2", True, None)
+    assert found[20, "2"] == (None, None, 2, "v2", None, '{"y":1}')
+    assert found[20, "0"] == (None, None, None, "v0", None, '{"y":1}')
+    failed = {(r.log_offset, r.row_key): r.failed for r in drift.consistent_rows(values).collect()}
+    assert failed[20, "0"] == ["n"] and failed[10, "0"] == []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.plans.common import DML, materialize, spread
+from tidelog.plans.common import DML, lookup_join, materialize, spread
 
 KINDS = ("whole", "fraction", "text", "flag", "list", "object")
 #: Registered column types (codes) by the kind of value they hold.
@@ -26,43 +26,46 @@ def cells(captures: DataFrame) -> DataFrame:
     with a field twice is unreadable. A field inside an object belongs to that object's value.
     """
     rows = captures.filter(F.col("rec_type").isin(*DML) & F.col("log_offset").isNotNull() & F.col("table_meta_id").isNotNull())
-    parsed = F.expr("try_cast(try_parse_json(payload) as map<string, variant>)")
-    raw = F.from_json("payload", "map<string, string>")
-    # the shape of a value is found inside the generator, so that later expressions don't find it again
-    filled = F.transform(F.map_entries(parsed), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("shape")))
     rows = spread(rows.select(F.shiftright("table_meta_id", 16).alias("table_id"), "log_offset", "row_key", "file_id", "row_no", "payload"))
-    rows = rows.select("table_id", "log_offset", "row_key", "file_id", "row_no", raw.alias("raw"), F.inline(filled)).filter(F.col("shape") != "VOID")
-    shape = F.col("shape")
+    parsed = rows.withColumn("parsed", F.expr("try_parse_json(payload)"))
+    each = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("parsed").outer())).drop("parsed").filter(F.col("key").isNotNull())
+    each = each.withColumn("shape", F.schema_of_variant("value")).filter(F.col("shape") != "VOID")
+    shape, number = F.col("shape"), F.col("shape").startswith("DECIMAL") | F.col("shape").isin("DOUBLE", "FLOAT")
     kind = (
-        F.when(shape == "BIGINT", "whole").when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "fraction").when(shape == "BOOLEAN", "flag")
+        F.when(shape == "BIGINT", "whole").when(number, "fraction").when(shape == "BOOLEAN", "flag")
         .when(shape.startswith("ARRAY"), "list").when(shape.startswith("OBJECT"), "object").otherwise("text")
     )
-    nested = shape.startswith("ARRAY") | shape.startswith("OBJECT")
-    text = F.when(nested, F.to_json("value")).otherwise(F.coalesce(F.element_at("raw", F.col("field")), F.expr("cast(value as string)")))
-    whole = (kind == "fraction") & text.rlike("^-?[0-9]+$")
-    return rows.select("table_id", "log_offset", "row_key", "file_id", "row_no", "field", F.when(whole, "whole").otherwise(kind).alias("kind"), text.alias("text"))
+    # only numbers that may be fractions lose their raw text in a variant, so only for them it is read from the payload
+    raw = F.element_at(F.from_json("payload", "map<string, string>"), F.col("key"))
+    text = F.when(number, F.coalesce(raw, F.expr("cast(value as string)"))).otherwise(F.expr("cast(value as string)"))
+    each = each.select("table_id", "log_offset", "row_key", "file_id", "row_no", F.col("key").alias("field"), kind.alias("kind"), text.alias("text"))
+    return each.withColumn("kind", F.when((F.col("kind") == "fraction") & F.col("text").rlike("^-?[0-9]+$"), "whole").otherwise(F.col("kind")))
 
 
 def field_statistics(values: DataFrame) -> DataFrame:
     """Each field of each file with the kind of most of its values: table_id, log_offset, field, kind, n_values, n_of_kind. Ties fall to the later kind by name."""
-    counted = values.groupBy(*_FILE, "field", "kind").agg(F.count(F.lit(1)).alias("n"))
-    most = F.max(F.struct("n", "kind"))
-    return counted.groupBy(*_FILE, "field").agg(most["kind"].alias("kind"), F.sum("n").alias("n_values"), most["n"].alias("n_of_kind"))
+    counted = values.groupBy(*_FILE, "field").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS))
+    most = F.greatest(*(F.struct(F.col(f"n_{k}").alias("n"), F.lit(k).alias("kind")) for k in KINDS))
+    return counted.select(*_FILE, "field", most["kind"].alias("kind"), sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)).alias("n_values"), most["n"].alias("n_of_kind"))
 
 
-def _following(stats: DataFrame) -> DataFrame:
-    """Each file and the next one of its table (null for the last). Holds one row for each file, not its rows."""
+def _neighbours(stats: DataFrame) -> DataFrame:
+    """Each file with the one before and the one after it of its table (null at the ends). Holds one row for each file, not its rows."""
     order = W.partitionBy("table_id").orderBy("log_offset")
-    return stats.select(*_FILE).distinct().withColumn("next", F.lead("log_offset").over(order)).withColumn("first", F.row_number().over(order) == 1)
+    return stats.select(*_FILE).distinct().select(*_FILE, F.lag("log_offset").over(order).alias("before"), F.lead("log_offset").over(order).alias("next"))
 
 
-def _renames(values: DataFrame, added: DataFrame, removed: DataFrame, following: DataFrame) -> DataFrame:
-    """Pairs of a new and a vanished field that hold the same text for most row keys filled in both: table_id, at, field, old_field."""
-    both = added.select("table_id", "at").intersect(removed.select("table_id", "at"))
-    ahead = following.filter(F.col("next").isNotNull()).select(*_FILE, F.col("next").alias("at"))
-    roles = added.withColumn("log_offset", F.col("at")).withColumn("is_new", F.lit(True)).unionByName(removed.join(ahead, ["table_id", "at"]).withColumn("is_new", F.lit(False)))
-    roles = roles.join(both, ["table_id", "at"], "left_semi")
-    told = values.filter(F.col("row_key").isNotNull()).join(roles, [*_FILE, "field"])
+def _renames(values: DataFrame, diff: DataFrame) -> DataFrame:
+    """Pairs of a new and a vanished field that hold the same text for most row keys filled in both: table_id, at, field, old_field.
+
+    ``diff``: the fields that a file has and the one ``before`` it doesn't (old_kind is null), or the other way round (kind is null).
+    """
+    lone = diff.filter(F.col("kind").isNull() | F.col("old_kind").isNull())
+    both = lone.groupBy("table_id", "at").agg(F.max(F.col("kind").isNull()).alias("_lost"), F.max(F.col("old_kind").isNull()).alias("_won")).filter("_lost and _won")
+    is_new = F.col("old_kind").isNull()
+    roles = lone.join(both, ["table_id", "at"], "left_semi").select("table_id", "at", "field", is_new.alias("is_new"), F.when(is_new, F.col("at")).otherwise(F.col("before")).alias("log_offset"))
+    roles = materialize(roles, "roles")  # as many as changes; a field of a file has two at most
+    told = lookup_join(values.filter(F.col("row_key").isNotNull()), roles, [*_FILE, "field"], "inner", F.col("row_key"))
     one = told.groupBy("table_id", "at", "row_key", "field", "is_new").agg(F.max(F.struct("file_id", "row_no", "text"))["text"].alias("text"))
     one = materialize(one, "renamable")
     new, old = one.filter("is_new").drop("is_new"), one.filter("not is_new").drop("is_new").withColumnRenamed("field", "old_field")
@@ -87,13 +90,15 @@ def field_changes(captures: DataFrame) -> DataFrame:
     """
     values = materialize(cells(captures), "cells")
     stats = materialize(field_statistics(values), "fields")
-    following = _following(stats)
-    now = stats.join(following.filter(~F.col("first")).select(*_FILE), _FILE).select("table_id", F.col("log_offset").alias("at"), "field", "kind")
-    before = stats.join(following.filter(F.col("next").isNotNull()), _FILE).select("table_id", F.col("next").alias("at"), "field", F.col("kind").alias("old_kind"))
-    diff = now.join(before, ["table_id", "at", "field"], "full").filter(~F.col("kind").eqNullSafe(F.col("old_kind")))
-    diff = materialize(diff, "differences")
+    # a field counts for its own file and for the one after it; the first file of a table has none before it
+    told = lookup_join(stats, _neighbours(stats), _FILE, "inner", F.col("field"))
+    own = F.when(F.col("before").isNotNull(), F.struct(F.col("log_offset").alias("at"), F.col("before"), F.col("kind"), F.lit(None).cast("string").alias("old_kind")))
+    later = F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("at"), F.col("log_offset").alias("before"), F.lit(None).cast("string").alias("kind"), F.col("kind").alias("old_kind")))
+    sides = told.select("table_id", "field", F.inline(F.array_compact(F.array(own, later))))
+    diff = sides.groupBy("table_id", "at", "before", "field").agg(F.max("kind").alias("kind"), F.max("old_kind").alias("old_kind"))
+    diff = materialize(diff.filter(~F.col("kind").eqNullSafe(F.col("old_kind"))), "differences")
     added, removed = diff.filter(F.col("old_kind").isNull()), diff.filter(F.col("kind").isNull())
-    renames = materialize(_renames(values, added.select("table_id", "at", "field"), removed.select("table_id", "at", "field"), following), "renames")
+    renames = materialize(_renames(values, diff), "renames")
     renamed = renames.join(added.select("table_id", "at", "field", "kind"), ["table_id", "at", "field"]).join(removed.select("table_id", "at", F.col("field").alias("old_field"), "old_kind"), ["table_id", "at", "old_field"])
     shape = lambda rows, change, old: rows.select("table_id", F.col("at").alias("log_offset"), "field", F.lit(change).alias("change"), old.alias("old_field"), "kind", "old_kind")
     none = F.lit(None).cast("string")
@@ -156,6 +161,34 @@ def consistent_values(captures: DataFrame, changes: DataFrame) -> DataFrame:
     return typed.withColumn("cast_failed", ~done)
 
 
+def consistent_rows(values: DataFrame) -> DataFrame:
+    """consistent_values() with one row for each row read: table_id, log_offset, file_id, row_no, row_key and its fields by latest name in a map for each
+    type (whole, fraction, flag, items, text; objects are text), with the names whose values couldn't be cast in ``failed``.
+
+    Several fields of a row under one name leave the last by text. A row is bounded by the fields of its payload.
+    """
+    row = ["table_id", "log_offset", "file_id", "row_no", "row_key"]
+    one = values.groupBy(*row, "name", "kind").agg(F.max(F.struct("text", "whole", "fraction", "flag", "items", "cast_failed")).alias("v"))
+    held = {"whole": "whole", "fraction": "fraction", "flag": "flag", "list": "items"}
+    entry = lambda of, ok: F.when(ok & ~F.col("v.cast_failed"), F.struct(F.col("name"), F.col(f"v.{of}").alias("value")))
+    maps = [F.map_from_entries(F.collect_list(entry(of, F.col("kind") == k))).alias(of) for k, of in held.items()]
+    maps.append(F.map_from_entries(F.collect_list(entry("text", F.col("kind").isin("text", "object")))).alias("text"))
+    return one.groupBy(*row).agg(*maps, F.array_sort(F.collect_list(F.when(F.col("v.cast_failed"), F.col("name")))).alias("failed"))
+
+
+def consistent_table(values: DataFrame, table_id: int) -> DataFrame:
+    """One captured table as a table: log_offset, file_id, row_no, row_key and a typed column for each field by its latest name, in order of name.
+
+    A value that couldn't be cast is null. A field named like one of the four gets a ``_`` behind its name. The driver holds the names of the table's fields.
+    """
+    own = values.filter(F.col("table_id") == table_id)
+    held = {"whole": "whole", "fraction": "fraction", "flag": "flag", "list": "items"}
+    fields = own.groupBy("name").agg(F.first("kind").alias("kind")).orderBy("name").collect()
+    fixed = ["log_offset", "file_id", "row_no", "row_key"]
+    columns = [F.col(held.get(f.kind, "text"))[f.name].alias(f.name + "_" * (f.name in fixed)) for f in fields]
+    return consistent_rows(own).select(*fixed, *columns)
+
+
 def registry_differences(captures: DataFrame, registered: DataFrame) -> DataFrame:
     """Where files disagree with the registered columns of their version: table_meta_id, log_offset, field, kind, registered_kind, difference
     (unregistered, missing, other_kind).

@@ -67,6 +67,14 @@ def p5_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.groupBy("table_id", "name", "kind").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("cast_failed").alias("n_failed"))
 
 
+def p5_consistent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent table of all captured tables, one row for each row read; its maps as sorted texts."""
+    captures = table(spark, sf_dir, "capture_rows")
+    rows = drift.consistent_rows(drift.consistent_values(captures, drift.field_changes(captures)))
+    names = lambda c: F.array_join(F.array_sort(F.map_keys(c)), ",").alias(c)
+    return rows.select("table_id", "log_offset", "file_id", "row_no", *(names(c) for c in ("whole", "fraction", "flag", "items", "text")), F.array_join("failed", ",").alias("failed"))
+
+
 def p5_registry_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.registry_differences(table(spark, sf_dir, "capture_rows"), table(spark, sf_dir, "column_defs"))
 
@@ -81,7 +89,7 @@ def p6_orphans_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_counts(refs, table(spark, sf_dir, "table_meta"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermarked, p2_found, p2_recovered, p3_found, p4_found, p5_found, p5_failed_casts, p5_registry_differences, p6_found, p6_orphans_by_day)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermarked, p2_found, p2_recovered, p3_found, p4_found, p5_found, p5_failed_casts, p5_consistent_rows, p5_registry_differences, p6_found, p6_orphans_by_day)}
 
 _MESSAGES = "with msg as (select log_offset, arg_min({'txn_id': txn_id, 'rec_type': rec_type, 'table_meta_id': table_meta_id, 'row_key': row_key, 'old_key': old_key, 'ts': ts}, delivery_id) as m from change_records where log_offset is not null group by log_offset), message as (select log_offset, m.txn_id, m.rec_type, m.table_meta_id, m.row_key, m.old_key, m.ts from msg)"
 
@@ -135,7 +143,7 @@ cell as (select t, o, row_key, file_id, row_no, j.key as f, case j.type when 'VA
     case when j.type = 'VARCHAR' then j.value ->> '$' else j.value::varchar end as x from ok, json_each(ok.payload) j where j.type <> 'NULL'),
 stat as (select t, o, f, arg_max(kind, (n, kind)) as kind from (select t, o, f, kind, count(*) as n from cell group by all) group by t, o, f)"""
 
-SQL["p5_found"] = f"""{_CELLS},
+_RENAMES = f"""{_CELLS},
 file as (select t, o, lead(o) over (partition by t order by o) as nxt, row_number() over (partition by t order by o) as k from (select distinct t, o from cell)),
 now as (select s.t, s.o as pos, s.f, s.kind from stat s join file on file.t = s.t and file.o = s.o where k > 1),
 was as (select s.t, nxt as pos, s.f, s.kind, s.o from stat s join file on file.t = s.t and file.o = s.o where nxt is not null),
@@ -143,13 +151,33 @@ added as (select n.* from now n where not exists (select 1 from was w where w.t
 removed as (select w.* from was w where not exists (select 1 from now n where w.t = n.t and w.pos = n.pos and w.f = n.f)),
 one as (select t, o, row_key, f, arg_max(x, (file_id, row_no)) as x from cell where row_key is not null group by all),
 pair as (select a.t, a.pos, a.f, r.f as old, a.kind, r.kind as old_kind, count(*) as both_, count(*) filter (x.x = y.x) as same from added a join removed r on a.t = r.t and a.pos = r.pos join one x on x.t = a.t and x.o = a.pos and x.f = a.f join one y on y.t = r.t and y.o = r.o and y.f = r.f and y.row_key = x.row_key group by all having same * 2 > both_),
-ren as (select * from pair qualify row_number() over (partition by t, pos, f order by same / both_ desc, same desc, old) = 1 and row_number() over (partition by t, pos, old order by same / both_ desc, same desc, f) = 1)
+ren as (select * from pair qualify row_number() over (partition by t, pos, f order by same / both_ desc, same desc, old) = 1 and row_number() over (partition by t, pos, old order by same / both_ desc, same desc, f) = 1)"""
+
+SQL["p5_found"] = f"""{_RENAMES}
 select t as table_id, pos as log_offset, f as field, 'added' as change from added a where not exists (select 1 from ren where ren.t = a.t and ren.pos = a.pos and ren.f = a.f)
 union all select t, pos, f, 'removed' from removed a where not exists (select 1 from ren where ren.t = a.t and ren.pos = a.pos and ren.old = a.f)
 union all select t, pos, f, 'renamed' from ren
 union all select t, pos, f, 'retyped' from ren where kind <> old_kind
 union all select n.t, n.pos, n.f, 'retyped' from now n join was w on w.t = n.t and w.pos = n.pos and w.f = n.f where w.kind <> n.kind"""
 
+# the name each field of each file has in the end, by following its renames one after the other
+_NAMED = _RENAMES.replace("with ", "with recursive ", 1) + """,
+follow as (
+    select distinct t, o, f as field, f as name, o as pos from cell
+    union all
+    select x.t, x.o, x.field, r.f, r.pos from follow x join ren r on r.t = x.t and r.old = x.name and r.pos > x.pos where not exists (select 1 from ren e where e.t = x.t and e.old = x.name and e.pos > x.pos and e.pos < r.pos)
+),
+final as (select t, o, field, arg_max(name, pos) as name from follow group by all),
+named as (select c.*, n.name from cell c join final n on n.t = c.t and n.o = c.o and n.field = c.f),
+target as (select t, name, arg_max(kind, (n, kind)) as target from (select t, name, kind, count(*) as n from named group by all) group by all),
+typed as (select n.*, target, case target when 'whole' then not coalesce(regexp_full_match(trim(x), '[+-]?[0-9]+') and try_cast(trim(x) as bigint) is not null, false) when 'fraction' then try_cast(x as double) is null
+    when 'flag' then try_cast(x as boolean) is null when 'list' then kind <> 'list' else false end as cast_failed from named n join target using (t, name))"""
+SQL["p5_failed_casts"] = f"{_NAMED} select t as table_id, name, target as kind, count(*) as n_values, count(*) filter (cast_failed) as n_failed from typed group by all"
+_OF = lambda kinds: f"coalesce(string_agg(distinct name, ',' order by name) filter (target in ({kinds}) and not cast_failed), '')"
+SQL["p5_consistent_rows"] = f"""{_NAMED}
+select t as table_id, o as log_offset, file_id, row_no, {_OF("'whole'")} as whole, {_OF("'fraction'")} as fraction, {_OF("'flag'")} as flag, {_OF("'list'")} as items, {_OF("'text', 'object'")} as text,
+    coalesce(string_agg(distinct name, ',' order by name) filter (cast_failed), '') as failed from typed group by t, o, file_id, row_no, row_key"""
+
 SQL["p5_registry_differences"] = f"""{_CELLS},
 version as (select distinct table_meta_id >> 16 as t, log_offset as o, table_meta_id from capture_rows where log_offset is not null),
 known as (select table_meta_id, column_name as f, max(case when col_type in (1, 2, 3, 4, 5, 6, 7, 8, 17) then 'whole' when col_type in (9, 10, 11, 12) then 'fraction' when col_type = 29 then 'flag' else 'text' end) as registered_kind from column_defs where column_name is not null group by 1, 2),
