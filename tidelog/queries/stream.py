@@ -57,6 +57,19 @@ def stream_transactions(spark, sf_dir):
     return spark.read.parquet(f"{root}/done").select(*columns)
 
 
+def stream_heartbeat(spark, sf_dir):
+    """Changes of definition by hour as a stream, with heartbeats: the last hours close only because heartbeats go on after them."""
+    root = scratch(spark, "heartbeat")
+    log = table(spark, sf_dir, "change_records").filter("rec_type in (4, 16) and ts is not null").select("delivery_id", "ts", "rec_type")
+    for place, kind in enumerate((4, 16)):  # one micro-batch of changes, then one of heartbeats alone
+        log.filter(F.col("rec_type") == kind).coalesce(1).write.parquet(f"{root}/log/{place}")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{root}/log/*")
+    timed = streams.with_heartbeat(source, delay="1 hour")
+    hours = timed.groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("starts"), "n")
+    hours.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(hours.schema).parquet(f"{root}/out")
+
+
 def stream_count_windows(spark, sf_dir):
     """Full windows of 50 events of each type, in the order they come: how many there are."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
@@ -78,7 +91,7 @@ def source_scan(spark, sf_dir):
 
 
 def source_stream(spark, sf_dir):
-    """The log source followed as a stream by position."""
+    """The log source followed as a stream, file by file."""
     changelog.register(spark)
     root = scratch(spark, "source")
     rows = spark.readStream.format("tidelog").schema("delivery_id bigint, log_offset bigint, rec_type int").option("path", f"{sf_dir}/change_records.parquet").load()
@@ -86,12 +99,14 @@ def source_stream(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
-for _f in (stream_tail, stream_chained, stream_windows, stream_transactions, stream_count_windows, source_scan, source_stream):
+for _f in (stream_tail, stream_chained, stream_windows, stream_transactions, stream_heartbeat, stream_count_windows, source_scan, source_stream):
     QUERIES[_f.__name__] = _f
 SQL["stream_tail"] = "select delivery_id, log_offset, row_key from change_records where rec_type = 2"
 SQL["stream_chained"] = "select rec_type, count(*) as n from change_records where rec_type in (0, 1, 2, 3) group by 1"
 SQL["stream_windows"] = f"select time_bucket(interval 1 hour, ts) as starts, time_bucket(interval 1 hour, ts) + interval 1 hour as ends, event_type, {_A} from events group by 1, 2, 3"
 SQL["stream_transactions"] = "select delivery_id, log_offset, txn_id, rec_type from change_records where txn_id is null or txn_id in (select txn_id from change_records where rec_type in (6, 7))"
+SQL["stream_heartbeat"] = """with t as (select ts, rec_type from change_records where rec_type in (4, 16) and ts is not null)
+select time_bucket(interval 1 hour, ts) as starts, count(*) as n from t where rec_type = 4 and time_bucket(interval 1 hour, ts) + interval 1 hour <= (select max(ts) from t) - interval 1 hour group by 1"""
 SQL["stream_count_windows"] = "select event_type as key, count(*) // 50 as n_windows, count(*) // 50 * 50 as n_rows from events group by 1"
 SQL["source_scan"] = "select delivery_id, log_offset, row_key from change_records where log_offset >= 35184372088832 and log_offset < 387028092977152 and rec_type = 2"
-SQL["source_stream"] = "select delivery_id, log_offset, rec_type from change_records where log_offset is not null"
+SQL["source_stream"] = "select delivery_id, log_offset, rec_type from change_records"

@@ -1,48 +1,58 @@
-"""The change log as a Spark data source: format("tidelog"), batch with pushed-down filters and streaming by log position."""
+"""The change log as a Spark data source: format("tidelog"), batch with pushed-down filters and streaming by files as they land."""
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatch
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+#: Bytes of a file read by one task.
+SPLIT_BYTES = 128 << 20
+
 
 @dataclass
 class Piece(InputPartition):
-    """A row group of a file."""
+    """The row groups of a file whose middle lies in part ``k`` of ``n`` of it."""
 
     path: str
-    group: int
-    low: int | None = None
-    high: int | None = None
+    k: int = 0
+    n: int = 1
 
     def __post_init__(self):
-        super().__init__((self.path, self.group))
+        super().__init__((self.path, self.k, self.n))
 
 
-def files_of(path: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(path, "**", "*.parquet"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:/"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def pieces(path: str, position: str) -> list[tuple[str, int, int | None, int | None]]:
-    """(file, row group, least position, greatest position) from the files' footers."""
-    out = []
-    for file in files_of(path):
-        meta = pq.ParquetFile(file).metadata
-        names = [meta.schema.column(i).path for i in range(meta.num_columns)]
-        for g in range(meta.num_row_groups):
-            stats = meta.row_group(g).column(names.index(position)).statistics if position in names else None
-            out.append((file, g, stats.min if stats and stats.has_min_max else None, stats.max if stats and stats.has_min_max else None))
-    return out
+def files_of(path: str) -> list[tuple[str, int]]:
+    """(file, bytes) of the parquet files of a folder, at any depth, or of those a pattern names. Only names are listed: no file is opened."""
+    fs, p = file_system(path)
+    plain = p.split("*")[0].split("?")[0]
+    info = fs.get_file_info(p) if plain == p else None
+    if info is not None and info.type == pafs.FileType.File:
+        return [(p, info.size)]
+    root = p if plain == p else plain.rsplit("/", 1)[0]
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
+    shown = (f for f in found if f.type == pafs.FileType.File and not any(x.startswith(("_", ".")) for x in f.path[len(root) :].split("/")))
+    return sorted((f.path, f.size) for f in shown if (fnmatch(f.path, p) if plain != p else f.path.endswith(".parquet")))
+
+
+def pieces(files: list[tuple[str, int]]) -> list[Piece]:
+    return [Piece(f, k, n) for f, size in files for n in (max(1, -(-size // SPLIT_BYTES)),) for k in range(n)]
 
 
 _TESTS = {GreaterThan: lambda c, v: c > v, GreaterThanOrEqual: lambda c, v: c >= v, LessThan: lambda c, v: c < v, LessThanOrEqual: lambda c, v: c <= v, EqualTo: lambda c, v: c == v}
@@ -69,8 +79,22 @@ class LogReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        inside = lambda a, b: (self.low is None or b is None or b >= self.low) and (self.high is None or a is None or a <= self.high)
-        return [Piece(f, g) for f, g, a, b in pieces(self.path, self.position) if inside(a, b)] or [Piece("", 0)]
+        return pieces(files_of(self.path)) or [Piece("")]
+
+    def groups(self, meta: pq.FileMetaData, piece: Piece) -> list[int]:
+        """The row groups of a piece that may hold positions asked for, by the file's footer, which only the task reads."""
+        names = [meta.schema.column(i).path for i in range(meta.num_columns)]
+        at = names.index(self.position) if self.position in names else None
+        sizes = [meta.row_group(g).total_byte_size for g in range(meta.num_row_groups)]
+        total, begin, out = max(1, sum(sizes)), 0, []
+        for g, size in enumerate(sizes):
+            mine = min(piece.n - 1, (begin + size // 2) * piece.n // total) == piece.k
+            begin += size
+            stats = meta.row_group(g).column(at).statistics if at is not None else None
+            known = stats is not None and stats.has_min_max
+            if mine and not (known and ((self.low is not None and stats.max < self.low) or (self.high is not None and stats.min > self.high))):
+                out.append(g)
+        return out
 
     def _filter(self):
         column = pc.field(self.position)
@@ -86,7 +110,12 @@ class LogReader(DataSourceReader):
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        fragment = next(iter(ds.dataset(partition.path, format="parquet").get_fragments())).subset(row_group_ids=[partition.group])
+        fs, _ = file_system(self.path)
+        with fs.open_input_file(partition.path) as f:
+            groups = self.groups(pq.read_metadata(f), partition)
+        if not groups:
+            return
+        fragment = ds.ParquetFileFormat().make_fragment(partition.path, fs).subset(row_group_ids=groups)
         wanted = to_arrow_schema(self.schema)
         for batch in fragment.scanner(columns=wanted.names, filter=self._filter()).to_batches():
             if batch.num_rows:
@@ -94,34 +123,31 @@ class LogReader(DataSourceReader):
 
 
 class LogStream(DataSourceStreamReader):
-    """Follows a growing log by position: each batch is a range of positions over the files there are."""
+    """Follows a growing log by the files that land: each batch is the files not seen before, so a message that lands late, below positions already
+    read, is read like any other. Files never change once they have landed. The offset names the files seen."""
 
     def __init__(self, options, schema):
-        self.path, self.position, self.schema = options["path"], options.get("position", "log_offset"), schema
-        self.start = int(options.get("startingoffset") or -(2**63))
-        self.options = options
+        self.options, self.schema, self.path = options, schema, options["path"]
 
     def initialOffset(self):  # noqa: N802
-        return {"after": self.start - 1 if self.start > -(2**63) else self.start}
+        return {"files": []}
 
     def latestOffset(self):  # noqa: N802
-        tops = [b for _, _, _, b in pieces(self.path, self.position) if b is not None]
-        return {"after": max(tops, default=self.initialOffset()["after"])}
+        return {"files": [f for f, _ in files_of(self.path)]}
 
     def partitions(self, start, end):
-        return [Piece(f, g, start["after"], end["after"]) for f, g, a, b in pieces(self.path, self.position) if (b is None or b > start["after"]) and (a is None or a <= end["after"])]
+        seen, wanted = set(start["files"]), set(end["files"])
+        return pieces([(f, size) for f, size in files_of(self.path) if f in wanted and f not in seen])
 
     def read(self, partition: Piece):
-        reader = LogReader(self.options, self.schema)
-        reader.low, reader.high = partition.low + 1, partition.high
-        yield from reader.read(partition)
+        yield from LogReader(self.options, self.schema).read(partition)
 
     def commit(self, end):
         """Nothing to release: files stay."""
 
 
 class ChangeLog(DataSource):
-    """Options: path (a parquet file, folder or pattern all workers see), position (the ordering column), startingOffset and endingOffset (inclusive)."""
+    """Options: path (a parquet file, folder or pattern, or a URI of one, that all workers see), position (the ordering column), startingOffset and endingOffset (inclusive)."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,7 +157,8 @@ class ChangeLog(DataSource):
         files = files_of(self.options["path"])
         if not files:
             raise FileNotFoundError(self.options["path"])
-        return from_arrow_schema(pq.read_schema(files[0]))
+        with file_system(self.options["path"])[0].open_input_file(files[0][0]) as f:
+            return from_arrow_schema(pq.read_schema(f))
 
     def reader(self, schema):
         return LogReader(self.options, schema)
