@@ -1,8 +1,10 @@
 """The log against a model in memory: 40 transactions over 12 key shapes, as a store of changes is tested."""
 
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.operators import apply, images, log, windows
 
@@ -159,3 +161,76 @@ def test_where_takes_a_filled_unique_key_before_all_columns(spark):
     assert found[1] == "`a` = 1"
     assert found[2] == "`b` = 2 AND `c` = 'x'"
     assert found[3].endswith(" LIMIT 1")
+
+
+@pytest.mark.parametrize("limit", [3, 10])
+def test_segments_of_levels_are_bounded(spark, df, changes, limit):
+    found = {r.txn_id: (r.segment, r.level) for r in apply.conflict_levels(df, segment_keys=limit).collect()}
+    keys, place = {}, {}
+    for c in changes:
+        place[c[3]] = max(place.get(c[3], 0), c[1])
+        for k in {c[8], c[9]} - {None}:
+            keys.setdefault(c[3], set()).add((c[7] >> 16, k))
+    assert set(found) == set(keys)
+    segments = {}
+    for txn in sorted(keys, key=place.get):
+        segments.setdefault(found[txn][0], []).append(txn)
+    assert list(segments) == sorted(segments)
+    for start, txns in segments.items():
+        assert start == min(place[t] for t in txns)
+        sizes = [len(keys[t]) for t in txns]
+        assert len(txns) == 1 or (max(sizes) <= limit and sum(sizes[:-1]) < limit + max(sizes))
+        for i, b in enumerate(txns):
+            assert found[b][1] == max((found[a][1] for a in txns[:i] if keys[a] & keys[b]), default=-1) + 1
+
+
+def test_statements_of_any_columns(spark):
+    import datetime as dt
+
+    schema = "log_offset long, txn_id long, rec_type int, db string, tbl string, table_meta_id long, changed array<string>, before_img struct<id: long, note: string, raw: binary, seen: date, price: decimal(8,2), ok: boolean>, after_img struct<id: long, note: string, raw: binary, seen: date, price: decimal(8,2), ok: boolean>"
+    old = (7, "it's \\ here", b"\x01\xff", dt.date(2024, 2, 3), None, True)
+    df = spark.createDataFrame([(1, 1, 0, "d", "t", 65536, None, None, old), (2, 1, 2, "d", "t", 65536, None, old, None), (3, 1, 2, "d", "t", 131072, None, old, None), (4, 1, 1, "d", "t", 65536, ["note", "gone"], old, (7, None, None, None, None, False)), (5, 1, 2, "d", "t", 9, None, old, None)], schema)
+    fields = [{"name": n, "type": t} for n, t in (("price", "decimal"), ("note", "text"), ("id", "int64"), ("raw", "blob"), ("ok", "bool"), ("later", "string"))]
+    catalog = spark.createDataFrame([(65536, None, json.dumps(fields)), (131072, "id", json.dumps(fields))], "table_meta_id long, key_columns string, columns_json string")
+    found = {r.log_offset: r.statement for r in apply.statements(df, catalog).collect()}
+    assert found[1] == "INSERT INTO `d`.`t` (`price`, `note`, `id`, `raw`, `ok`) VALUES (NULL, 'it''s \\\\ here', 7, 0x01FF, true)"
+    assert found[2] == "DELETE FROM `d`.`t` WHERE `price` IS NULL AND `id` = 7 AND `ok` = true LIMIT 1"
+    assert found[3] == "DELETE FROM `d`.`t` WHERE `id` = 7"
+    assert found[4] == "UPDATE `d`.`t` SET `note` = NULL WHERE `price` IS NULL AND `id` = 7 AND `ok` = true LIMIT 1"
+    assert found[5].count(" AND ") == 5
+    text = df.withColumns({c: F.to_json(F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.note").alias("note"))) for c in ("before_img", "after_img")})
+    found = {r.log_offset: r.statement for r in apply.statements(text, catalog).collect()}
+    assert found[1] == "INSERT INTO `d`.`t` (`note`, `id`) VALUES ('it''s \\\\ here', 7)"
+    assert found[3] == "DELETE FROM `d`.`t` WHERE `id` = 7"
+
+
+def test_net_change_of_whole_rows(df):
+    found = images.net_changes(df).collect()
+    assert [c for c in found[0].asDict() if c.startswith(("first_", "last_"))] == [f"{s}_{c}" for s in ("first", "last") for c in "abcdf"]
+    assert all(r.effect in ("update", "delete") or r.first_a is None for r in found)
+
+
+def test_last_writer_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    entries = [(rng.randrange(9), rng.randrange(40), rng.choice([None] * 6 + [rng.randrange(40)])) for _ in range(120)] + [(None, 3, None), (5, None, None)]
+    df = spark.createDataFrame(entries, "term long, log_index long, rolled_back_to long")
+    want = {}
+    for t, i, r in entries:
+        if r is None and i is not None:
+            want[i] = max(want.get(i, -1), -1 if t is None else t)
+    cuts = [(r, t) for t, _, r in entries if r is not None]
+    want = {i: t for i, t in want.items() if not any(r < i and t < c for r, c in cuts)}
+    assert {r.log_index: r.term for r in log.last_writer(df).collect()} == want
+
+
+def test_moves_from_key_to_key(spark, df):
+    every = sorted({r.key for r in log.touches(df).filter("table_id = 1").collect()})
+    for start, following, before in ((every[1], every[2], every[0]), ("", every[0], None), (every[-1], None, every[-2])):
+        assert next((r.key for r in log.neighbour_key(df, start).collect() if r.table_id == 1), None) == following
+        assert next((r.key for r in log.neighbour_key(df, start, True).collect() if r.table_id == 1), None) == before
+    with pytest.raises(ValueError):
+        log.visible(df, "serializable")
+    with pytest.raises(ValueError):
+        log.resume_position(df.limit(0))

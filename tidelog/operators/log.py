@@ -56,7 +56,10 @@ def scan_timestamp(log: DataFrame, time: Column, descending: bool = False) -> Da
 
 
 def resume_position(log: DataFrame, start_offset: int | None = None, start_time: Column | None = None) -> DataFrame:
-    """One row (position): after the last message stored, else the given offset, else the position of the given time."""
+    """One row (position): after the last message stored, else the given offset, else the position of the given time. Where nothing is stored and
+    neither is given there is no place to start, which is an error."""
+    if start_offset is None and start_time is None and log.limit(1).count() == 0:
+        raise ValueError("nothing is stored, and neither an offset nor a time to start from is given")
     stored = log.agg(F.max("log_offset").alias("stored"))
     fallback = F.lit(start_offset).cast("long")
     if start_offset is None and start_time is not None:
@@ -92,6 +95,17 @@ def committed(log: DataFrame, read_uncommitted: bool = False) -> DataFrame:
     return log.filter(F.col("txn_id").isNotNull()).join(done, "txn_id", "left_semi").select(log.columns).unionAll(log.filter(F.col("txn_id").isNull()))
 
 
+ISOLATION = ("read uncommitted", "read committed", "repeatable read")
+
+
+def visible(log: DataFrame, isolation: str = "read committed", snapshot: int | None = None) -> DataFrame:
+    """What a reader sees of a log: everything, what is committed by now, or (repeatable read) what was committed at the position ``snapshot``, the same at
+    every later read. Messages outside transactions count as committed where they stand."""
+    if isolation not in ISOLATION or (isolation == "repeatable read") != (snapshot is not None):
+        raise ValueError(f"isolation is one of {', '.join(ISOLATION)}, the last with a snapshot")
+    return committed(in_range(log, end=snapshot), isolation == "read uncommitted")
+
+
 def touches(log: DataFrame) -> DataFrame:
     """The index of a log: a row for each key a DML message touches (table_id, key, log_offset, rec_type); an update that moves a key touches both."""
     keys = F.array_distinct(F.array_compact(F.array(F.when(F.length("old_key") > 0, F.col("old_key")), F.col("row_key"))))
@@ -118,6 +132,17 @@ def keys_from(log: DataFrame, start: str, descending: bool = False) -> DataFrame
     return touches(log).filter(side).groupBy("table_id", "key").agg(F.count(F.lit(1)).alias("n_versions"))
 
 
+def neighbour_key(log: DataFrame, start: str, descending: bool = False) -> DataFrame:
+    """The key after ``start`` (descending: before it) in each table, with its first and last version: table_id, key, first_version, last_version (log offsets).
+
+    An iterator over keys goes on from one key to the next by this; tables without such a key give no row.
+    """
+    side = F.col("key") < start if descending else F.col("key") > start
+    ends = touches(log).filter(side).groupBy("table_id", "key").agg(F.min("log_offset").alias("first_version"), F.max("log_offset").alias("last_version"))
+    best = (F.max if descending else F.min)(F.struct("key", "first_version", "last_version")).alias("k")
+    return ends.groupBy("table_id").agg(best).select("table_id", "k.*")
+
+
 def point_select(state: DataFrame, keys: Mapping[str, object], key_columns: Iterable[str]) -> DataFrame:
     """The row of a latest-state table with these key values; they must name exactly the key's columns. A null key value finds rows without one."""
     if set(keys) != set(key_columns):
@@ -238,9 +263,11 @@ def markers_to_transactions(events: DataFrame, source: str = "source") -> DataFr
 def last_writer(entries: DataFrame) -> DataFrame:
     """A replicated log after truncations: for each log_index the entry of the greatest term, without those a later term rolled back.
 
-    ``entries``: term, log_index, and rolled_back_to (set on entries that truncate the log to that index in their term).
+    ``entries``: term, log_index, and rolled_back_to (set on entries that truncate the log to that index in their term). What rolls an entry back is the greatest term of
+    the truncations to an index below its own: a running maximum over the index.
     """
-    cuts = entries.filter(F.col("rolled_back_to").isNotNull()).groupBy("rolled_back_to").agg(F.max("term").alias("cut_term"))
-    newest = entries.filter(F.col("rolled_back_to").isNull()).groupBy("log_index").agg(F.max("term").alias("term"))
-    gone = newest.join(F.broadcast(cuts), (F.col("log_index") > F.col("rolled_back_to")) & (F.col("term") < F.col("cut_term")), "left_semi").select("log_index")
-    return newest.join(gone, "log_index", "left_anti")
+    cuts = entries.filter(F.col("rolled_back_to").isNotNull()).groupBy(F.col("rolled_back_to").alias("log_index")).agg(F.max("term").alias("_cut"))
+    newest = entries.filter(F.col("rolled_back_to").isNull() & F.col("log_index").isNotNull()).groupBy("log_index").agg(F.max("term").alias("term"))
+    both = newest.select("log_index", "term", F.lit(None).cast("long").alias("_cut"), F.lit(0).alias("_side")).unionAll(cuts.select("log_index", F.lit(None).cast("long"), "_cut", F.lit(1)))
+    told = running(both, ["log_index", "_side"], [], F.col("_cut"), "_by", greatest=True)
+    return told.filter((F.col("_side") == 0) & ~F.coalesce(F.col("term") < F.col("_by"), F.lit(False))).select("log_index", "term")

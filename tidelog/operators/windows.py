@@ -30,23 +30,24 @@ def session(df: DataFrame, time: str, gap: str, keys: list[str], aggs: list[Colu
     return _with_bounds(out)
 
 
-def running(df: DataFrame, order: list[str], keys: list[str], value: Column, name: str, parts: int | None = None) -> DataFrame:
-    """Rows with the sum of ``value`` (a whole number) over the rows of their key before them in ``order``, as ``name``; no key is gathered in one task.
+def running(df: DataFrame, order: list[str], keys: list[str], value: Column, name: str, parts: int | None = None, greatest: bool = False) -> DataFrame:
+    """Rows with the sum (or ``greatest``) of ``value`` (a whole number) over the rows of their key before them in ``order``, as ``name``; no key is gathered in one task.
 
     Rows are range-partitioned by key and order and summed inside; what the key has in earlier partitions is added from one sum for each
-    partition and key. The order must be total within a key.
+    partition and key. The order must be total within a key. Without rows before it a row has 0 (null with ``greatest``).
     """
     ranged = df.repartitionByRange(*([parts] if parts else []), *keys, *order).withColumn("_part", F.spark_partition_id()).withColumn("_value", value.cast("long"))
     ranged = materialize(ranged, "ranged")
     over_parts = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(over_parts), F.lit(0)))
+    fold, nothing = (F.max, F.lit(None).cast("long")) if greatest else (F.sum, F.lit(0))
+    sums = ranged.groupBy(*keys, "_part").agg(fold("_value").alias("_sum")).withColumn("_before", F.coalesce(fold("_sum").over(over_parts), nothing))
     sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), "_before")
     inside = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    local = ranged.withColumn("_local", F.coalesce(fold("_value").over(inside), nothing))
     on = F.col("_part") == F.col("_p")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = local.join(sums, on).withColumn(name, F.col("_before") + F.col("_local"))
+    joined = local.join(sums, on).withColumn(name, F.greatest("_before", "_local") if greatest else F.col("_before") + F.col("_local"))
     return joined.drop("_part", "_value", "_p", "_before", "_local", *(f"_{k}" for k in keys))
 
 

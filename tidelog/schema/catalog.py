@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.plans.common import lookup_join
+from tidelog.operators.references import epoch_at
+from tidelog.plans.common import lookup_join, materialize
 
 
 def registry(catalog: DataFrame) -> DataFrame:
@@ -20,10 +21,12 @@ def registry(catalog: DataFrame) -> DataFrame:
 def version_at(log: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each message with the version of its table in force at its position: log_offset, table_id, in_force (table_meta_id; null before the first and after a drop)."""
     versions = registry(catalog).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("start_offset", "version", "table_meta_id", "is_drop"))).alias("versions"))
+    versions = materialize(versions.withColumn("starts", F.transform("versions", lambda v: v["start_offset"])), "versions")  # a table has 65,536 versions at most
+    most = versions.agg(F.max(F.size("starts"))).first()[0] or 0
     rows = log.filter(F.col("table_meta_id").isNotNull()).select("log_offset", F.shiftright("table_meta_id", 16).alias("table_id"))
     joined = lookup_join(rows, versions, ["table_id"], "left", F.col("log_offset"))
-    last = F.try_element_at(F.filter("versions", lambda v: v["start_offset"] <= F.col("log_offset")), F.lit(-1))
-    return joined.withColumn("_v", last).select("log_offset", "table_id", F.when(~F.col("_v.is_drop"), F.col("_v.table_meta_id")).alias("in_force"))
+    held = F.get("versions", epoch_at(F.col("starts"), F.col("log_offset"), most) - 1)
+    return joined.withColumn("_v", held).select("log_offset", "table_id", F.when(~F.col("_v.is_drop"), F.col("_v.table_meta_id")).alias("in_force"))
 
 
 def columns_of(catalog: DataFrame) -> DataFrame:
