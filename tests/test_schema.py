@@ -29,7 +29,7 @@ T3 = "a int primary key, b char(20), c char(20)"
         ([f"CREATE TABLE m ({T3}, d int, unique key (b, c))", "ALTER TABLE m CHANGE d d1 bigint FIRST"], f"CREATE TABLE m (d1 bigint, {T3}, unique key (b, c))"),
         ([f"CREATE TABLE m ({T3}, d int unique)", "ALTER TABLE m CHANGE COLUMN d d1 bigint"], f"CREATE TABLE m ({T3}, d1 bigint unique)"),
         ([f"CREATE TABLE m ({T3}, d int unique, e int)", "ALTER TABLE m CHANGE d d1 bigint AFTER e"], f"CREATE TABLE m ({T3}, e int, d1 bigint unique)"),
-        ([f"CREATE TABLE m ({T3})", "alter table m add column(c1 int,c2 char(20),c3 varchar(20)),add unique key uk1 (c1 ,c2)"], f"CREATE TABLE m ({T3}, c1 int, c2 char(20), c3 varchar(20), unique key uk1 (c1, c2))"),
+        ([f"CREATE TABLE m ({T3})", "ALTER TABLE m ADD (quay smallint, slot varchar(7), tonnage decimal(9,1), flagged date), ADD UNIQUE KEY berth (quay, slot)"], f"CREATE TABLE m ({T3}, quay smallint, slot varchar(7), tonnage decimal(9,1), flagged date, unique key berth (quay, slot))"),
         ([f"CREATE TABLE m ({T3}, d int, key k (c, d))", "ALTER TABLE m DROP COLUMN d, DROP PRIMARY KEY"], "CREATE TABLE m (a int, b char(20), c char(20), key k (c))"),
         ([f"CREATE TABLE m ({T3})", "CREATE INDEX i ON m (b(5), c DESC)", "ALTER TABLE m RENAME INDEX i TO j", "DROP INDEX j ON m", "ALTER TABLE m RENAME COLUMN b TO bb"], "CREATE TABLE m (a int primary key, bb char(20), c char(20))"),
     ],
@@ -39,10 +39,10 @@ def test_histories_that_end_alike(steps, direct):
 
 
 def test_wide_table():
-    kinds = ["varchar(33)", "char(8)", "varbinary(9)", "datetime(3)", "double", "float", "bigint"]
-    columns = ", ".join(f"C_{k} {kinds[k % 7]}" for k in range(31))
-    t = last(f"CREATE TABLE w ({columns}, ID bigint, PRIMARY KEY (ID), UNIQUE KEY u (C_25, C_29, C_10))")
-    assert (len(t.columns), t.primary, t.unique) == (32, ("ID",), (("u", ("C_25", "C_29", "C_10")),))
+    kinds = ["smallint", "varchar(12)", "decimal(9,3)", "date", "binary(4)"]
+    columns = ", ".join(f"gauge{k:02d} {kinds[k % 5]}" for k in range(45))
+    t = last(f"CREATE TABLE w (station int, {columns}, PRIMARY KEY (station, gauge03), UNIQUE KEY by_two (gauge11, gauge40))")
+    assert (len(t.columns), t.primary, t.unique) == (46, ("station", "gauge03"), (("by_two", ("gauge11", "gauge40")),))
     assert last(t.ddl().replace("`d`.", "")).same_as(t)
 
 

@@ -96,8 +96,8 @@ _STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT l_orderkey, l_linenumber, (l_tax > 0.02 && !(l_discount == 0.05)) || l_linenumber <> 2 AS v, l_quantity > 25 ? 'bulk' : 'few' AS size FROM lineitem # both kinds",
         "select l_orderkey, l_linenumber, (l_tax > 0.02 and not (l_discount = 0.05)) or l_linenumber <> 2 as v, case when l_quantity > 25 then 'bulk' else 'few' end as size from lineitem",
     ),
-    "op_precedence": ("SELECT l_orderkey, l_linenumber, l_partkey + (5 + (l_partkey + l_suppkey) * 2) * 3 - (23 * l_linenumber - (-24 * l_suppkey)) AS v FROM lineitem", None),
-    "op_literals": ("SELECT r_regionkey, -123456790 AS a, 123.2e-2 AS b, 'it''s' AS c, \"two words\" AS d, DATE '2024-02-29' AS e FROM region -- end", "select r_regionkey, -123456790 as a, 1.232::double as b, 'it''s' as c, 'two words' as d, date '2024-02-29' as e from region"),
+    "op_precedence": ("SELECT l_orderkey, l_linenumber, 7 - l_suppkey * l_linenumber % 11 + -(l_partkey - 40) * (2 + l_linenumber) AS v, l_linenumber + 1 > 3 && l_suppkey < 9 || !(l_partkey = 12) AS w FROM lineitem", "select l_orderkey, l_linenumber, 7 - ((l_suppkey * l_linenumber) % 11) + (-(l_partkey - 40)) * (2 + l_linenumber) as v, ((l_linenumber + 1) > 3 and l_suppkey < 9) or not (l_partkey = 12) as w from lineitem"),
+    "op_literals": ("SELECT r_regionkey, -40700612 AS a, 77.5e-1 AS b, 'tide''s' AS c, \"high water\" AS d, DATE '2023-11-05' AS e FROM region -- end", "select r_regionkey, -40700612 as a, 7.75::double as b, 'tide''s' as c, 'high water' as d, date '2023-11-05' as e from region"),
     "fn_rowmax": ("SELECT p_partkey, MAX(p_size, 25) AS a, MIN(p_size, 25) AS b, FIELD(p_size, 3, 7, 9) AS c FROM part", "select p_partkey, greatest(p_size, 25) as a, least(p_size, 25) as b, coalesce(list_position([3, 7, 9], p_size), 0)::bigint as c from part"),
     "agg_max": ("SELECT l_returnflag, MAX(l_quantity) AS v, MAX(l_shipdate) AS d FROM lineitem GROUP BY l_returnflag", None),
     "agg_min": ("SELECT l_returnflag, MIN(l_quantity) AS v, MIN(l_extendedprice) AS p FROM lineitem GROUP BY l_returnflag", None),
@@ -111,6 +111,19 @@ _STATEMENTS: dict[str, tuple[str, str | None]] = {
     "agg_group_expr": ("SELECT YEAR(o_orderdate) AS y, o_custkey % 7 AS k, COUNT(1) AS n FROM orders GROUP BY YEAR(o_orderdate), o_custkey % 7", "select year(o_orderdate)::int as y, o_custkey % 7 as k, count(*) as n from orders group by 1, 2"),
     "agg_in_expr": ("SELECT l_returnflag, MAX(l_quantity) - MIN(l_quantity) + COUNT(1) AS v FROM lineitem GROUP BY l_returnflag", None),
     "agg_distinct": ("SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS v FROM lineitem GROUP BY l_returnflag", None),
+    "agg_cube": ("SELECT l_returnflag, l_linestatus, COUNT(1) AS v, MAX(l_quantity) AS q FROM lineitem GROUP BY CUBE(l_returnflag, l_linestatus)", None),
+    "agg_grouping_sets": ("SELECT l_returnflag, l_linestatus, COUNT(1) AS v FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", None),
+    "agg_approx_distinct": ("SELECT l_returnflag, APPROX_COUNT_DISTINCT(l_orderkey) BETWEEN 0.85 * COUNT(DISTINCT l_orderkey) AND 1.15 * COUNT(DISTINCT l_orderkey) AS near FROM lineitem GROUP BY l_returnflag", "select l_returnflag, true as near from lineitem group by l_returnflag"),
+    "join_full": ("SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c FULL OUTER JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 150000) o ON c_custkey = o_custkey", None),
+    "op_div_text": (
+        "SELECT l_orderkey, l_linenumber, l_partkey / l_linenumber AS a, -l_suppkey / 4 * 2 AS b, (l_partkey / 3) / (l_linenumber / 2 + 1) AS c, l_quantity / 4 AS d, ABS(l_suppkey) / 7 + 6 / 4 AS e FROM lineitem WHERE l_partkey / 10 > 2",
+        "select l_orderkey, l_linenumber, (l_partkey // l_linenumber)::bigint as a, (-(l_suppkey // 4) * 2)::bigint as b, ((l_partkey // 3) // (l_linenumber // 2 + 1))::bigint as c, l_quantity / 4 as d, (l_suppkey // 7 + 1)::bigint as e from lineitem where l_partkey // 10 > 2",
+    ),
+    "agg_div_group": ("SELECT l_suppkey / 3 AS g, SUM(l_linenumber) / COUNT(1) AS v FROM lineitem GROUP BY l_suppkey / 3", "select (l_suppkey // 3)::bigint as g, (sum(l_linenumber) // count(*))::bigint as v from lineitem group by 1"),
+    "sel_limit_nested": (
+        "SELECT o_orderkey, k FROM (SELECT o_orderkey, o_custkey AS k FROM orders ORDER BY o_orderkey LIMIT 5, 100) a JOIN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10, 500) b ON k = c_custkey ORDER BY o_orderkey LIMIT 1, 30",
+        "select o_orderkey, k from (select o_orderkey, o_custkey as k from orders order by o_orderkey limit 100 offset 5) a join (select c_custkey from customer order by c_custkey limit 500 offset 10) b on k = c_custkey order by o_orderkey limit 30 offset 1",
+    ),
     "agg_rollup": ("SELECT l_returnflag, l_linestatus, COUNT(1) AS v FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)", None),
     "join_inner": ("SELECT o_orderkey, c_name FROM orders INNER JOIN customer ON o_custkey = c_custkey", None),
     "join_cross": ("SELECT r_name, n_name FROM region CROSS JOIN nation", None),
@@ -118,8 +131,8 @@ _STATEMENTS: dict[str, tuple[str, str | None]] = {
     "join_left": ("SELECT c_custkey, o_orderkey FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'", None),
     "join_right": ("SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_totalprice > 300000", None),
     "join_natural": ("SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) n NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region) r", None),
-    "join_natural_left": ("SELECT n_name, s_name FROM (SELECT n_name, n_nationkey AS k FROM nation) n NATURAL LEFT OUTER JOIN (SELECT s_name, s_nationkey AS k FROM supplier WHERE s_suppkey < 9) s", None),
-    "join_natural_right": ("SELECT n_name, s_name FROM (SELECT s_name, s_nationkey AS k FROM supplier WHERE s_suppkey < 9) s NATURAL RIGHT JOIN (SELECT n_name, n_nationkey AS k FROM nation) n", None),
+    "join_natural_left": ("SELECT n_name, s_name FROM (SELECT n_name, n_nationkey AS k FROM nation) n NATURAL LEFT OUTER JOIN (SELECT s_name, s_nationkey AS k FROM supplier WHERE s_acctbal > 9000) s", None),
+    "join_natural_right": ("SELECT n_name, s_name FROM (SELECT s_name, s_nationkey AS k FROM supplier WHERE s_acctbal > 9000) s NATURAL RIGHT JOIN (SELECT n_name, n_nationkey AS k FROM nation) n", None),
     "join_using": ("SELECT k, a.n, b.m FROM (SELECT l_partkey AS k, COUNT(1) AS n FROM lineitem GROUP BY l_partkey) a JOIN (SELECT p_partkey AS k, p_size AS m FROM part) b USING (k)", None),
     "join_theta": ("SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey > n.n_nationkey AND s.s_suppkey % 5 = n.n_regionkey", None),
     "join_multiway": ("SELECT r_name, COUNT(1) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", None),
@@ -137,7 +150,7 @@ _STATEMENTS: dict[str, tuple[str, str | None]] = {
     "sel_topk": ("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50", None),
     "sel_comma_from": ("SELECT n_name, r_name FROM nation, (region) WHERE n_regionkey = r_regionkey", "select n_name, r_name from nation, region where n_regionkey = r_regionkey"),
     "sel_partition": ("SELECT o_orderkey FROM orders PARTITION (p1995, p1996) WHERE o_orderstatus = 'F'", "select o_orderkey from orders where year(o_orderdate) in (1995, 1996) and o_orderstatus = 'F'"),
-    "sel_index_hints": ("SELECT o_orderkey FROM orders USE INDEX FOR ORDER BY (i1, i2) IGNORE KEY (i3) WHERE o_custkey < 100 ORDER BY o_orderkey", "select o_orderkey from orders where o_custkey < 100"),
+    "sel_index_hints": ("SELECT o_orderkey FROM orders USE INDEX FOR ORDER BY (i1, i2) IGNORE KEY (i3) WHERE o_totalprice > 1000 ORDER BY o_orderkey", "select o_orderkey from orders where o_totalprice > 1000"),
 }
 
 
