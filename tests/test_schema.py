@@ -108,3 +108,44 @@ def test_snapshot_of_a_table(spark):
     assert r.at("d", "t", 4) is None
     assert [(c.name, c.kind) for c in r.at("d", "t", 6).table.columns] == [("a", "INT64"), ("b", "TEXT"), ("c", "DECIMAL"), ("d", "JSON"), ("e", "DATETIME")]
     assert r.at("d", "t", 9).table.schema().simpleString() == "struct<a:bigint,b:string,c:decimal(9,2),e:timestamp_ntz>"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "ALTER TABLE t ENGINE=InnoDB AND SOMETHING ELSE", "ALTER TABLE t SIDEWAYS", "ALTER TABLE t ADD d int SIDEWAYS", "ALTER TABLE t RENAME INDEX nowhere TO x", "ALTER TABLE t RENAME INDEX by_b TO By_C",
+        "ALTER TABLE t DROP PARTITION p9", "ALTER TABLE t COALESCE PARTITION 3", "ALTER TABLE t ADD PARTITION (PARTITION P0 VALUES IN (9))", "CREATE TABLE u (a int) WHATEVER", "CREATE TABLE u (a int) PARTITION BY MOON(a)",
+        "DROP TABLE t SIDEWAYS", "CREATE INDEX i ON t (a) SIDEWAYS", "ALTER TABLE t ALTER INDEX by_b SHINY", "CREATE TABLE u (a int, KEY k (a) SIDEWAYS)", "ALTER TABLE t COMMENT",
+    ],
+)
+def test_words_that_mean_nothing_are_refused(text):
+    r = built(f"CREATE TABLE t ({T3}, KEY by_b (b), KEY by_c (c)) PARTITION BY LIST (a) (PARTITION p0 VALUES IN (1), PARTITION p1 VALUES IN (2))")
+    before = r.current("d", "t")
+    with pytest.raises((ddl.SchemaError, DialectError)):
+        r.apply(text, 9)
+    assert r.current("d", "t") == before
+
+
+def test_options_that_change_no_column():
+    t = last(
+        "CREATE TABLE t (a int NOT NULL AUTO_INCREMENT COMMENT 'x' PRIMARY KEY, b varchar(9) GENERATED ALWAYS AS (concat(a, 'x')) STORED, c datetime(3) ON UPDATE CURRENT_TIMESTAMP(3), CHECK (a > 0) NOT ENFORCED) ENGINE=InnoDB, AUTO_INCREMENT 7 DEFAULT CHARSET=latin1 COMMENT='a, b' ROW_FORMAT = DYNAMIC",
+        "ALTER TABLE t ENGINE = MyISAM, ALGORITHM=INPLACE, LOCK NONE, FORCE, ORDER BY a, b DESC, ALTER COLUMN b SET DEFAULT 'z', ALTER c DROP DEFAULT, DISABLE KEYS",
+    )
+    assert [(c.name, c.kind, c.nullable, c.default) for c in t.columns] == [("a", "INT32", False, None), ("b", "STRING", True, "'z'"), ("c", "DATETIME", True, None)]
+    assert (t.charset, t.primary) == ("latin1", ("a",))
+
+
+def test_keys_go_by_any_case_and_may_be_hidden():
+    t = last(f"CREATE TABLE t ({T3}, KEY I1 (b) USING BTREE INVISIBLE)", "CREATE INDEX i2 ON t (c) COMMENT 'x' INVISIBLE", "ALTER TABLE t ALTER INDEX i1 VISIBLE, RENAME INDEX i2 TO I3")
+    assert (t.indexes, t.hidden) == ((("I1", ("b",)), ("I3", ("c",))), ("I3",))
+    assert last(f"CREATE TABLE t ({T3}, KEY I1 (b))", "DROP INDEX i1 ON t").indexes == ()
+
+
+def test_partitions():
+    t = f"CREATE TABLE t ({T3}) ENGINE=InnoDB PARTITION BY RANGE COLUMNS (a) SUBPARTITION BY HASH (a) SUBPARTITIONS 2 (PARTITION p0 VALUES LESS THAN (10) ENGINE = InnoDB (SUBPARTITION s0, SUBPARTITION s1), PARTITION p1 VALUES LESS THAN MAXVALUE COMMENT = 'rest')"
+    assert last(t).partitions == ("p0", "p1")
+    assert last(t, "ALTER TABLE t REORGANIZE PARTITION p0 INTO (PARTITION a VALUES LESS THAN (5), PARTITION b VALUES LESS THAN (10))").partitions == ("a", "b", "p1")
+    assert last(t, "ALTER TABLE t DROP PARTITION P1", "ALTER TABLE t ADD PARTITION (PARTITION p2 VALUES LESS THAN (30))", "ALTER TABLE t TRUNCATE PARTITION ALL").partitions == ("p0", "p2")
+    assert last(t, "ALTER TABLE t REMOVE PARTITIONING").partitions == ()
+    assert last(f"CREATE TABLE t ({T3}) PARTITION BY LINEAR KEY ALGORITHM=2 () PARTITIONS 4", "ALTER TABLE t COALESCE PARTITION 1", "ALTER TABLE t ADD PARTITION PARTITIONS 2").partitions == ("p0", "p1", "p2", "p3", "p4")
+    assert last(f"CREATE TABLE t ({T3})", "ALTER TABLE t ADD d int, COMMENT 'x' PARTITION BY HASH (a) PARTITIONS 3").partitions == ("p0", "p1", "p2")
