@@ -119,3 +119,30 @@ def test_damage(tmp_path, log):
     w.close()
     with pytest.raises(B.BinlogError, match="no table map"):
         list(B.changes(str(tmp_path / "nomap.000001")))
+
+
+def test_reading_begins_at_the_place_asked_for(log, monkeypatch):
+    path = f"{log}/bin.000001"
+    every = list(B.changes(path))
+    read = []
+    real = B.read_rows
+    monkeypatch.setattr(B, "read_rows", lambda kind, body, maps: read.append(kind) or real(kind, body, maps))
+    update = next(r for r in every if r[3] == 1)
+    # the announcement of its table lies before this place
+    assert list(B.changes(path, start=update[0])) == [r for r in every if r[0] >= update[0]]
+    assert read == [31]
+    assert [at for at, *_ in B.events(path, 4)][0] == 4
+    assert list(B.changes(path, start=2 << 44 | 9)) == every  # a place in another file says nothing about this one
+
+
+def test_the_statement_behind_rows(tmp_path):
+    t = B.TableMap(9, "d", "t", [B.LONG], [()])
+    w = B.Writer(str(tmp_path / "q.000001"))
+    text = b"insert into t values (1)"
+    w.event(B.ROWS_QUERY, 1, bytes([len(text)]) + text)
+    w.rows(1, 30, t, [(None, [1])])
+    w.commit(1, 4)
+    w.rows(1, 30, t, [(None, [2])])
+    w.close()
+    assert [(r[3], r[10]) for r in B.changes(str(tmp_path / "q.000001"))] == [(0, text.decode()), (6, None), (0, None)]
+    assert [b.num_rows for b in B.change_batches(str(tmp_path / "q.000001"))] == [3]

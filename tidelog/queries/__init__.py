@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core", "shell", "log", "schema", "stream")
+MODULES = ("core", "shell", "log", "schema", "stream", "binlog")
 
 
 def _all(what: str) -> dict:

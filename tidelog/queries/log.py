@@ -73,8 +73,8 @@ _add("log_shard_pattern", lambda s, d: log.select_tables(messages(s, d, ["db", "
 from message where (db = 'ledger_a' and regexp_matches(tbl, '^int_pk_\d{{2}}$|^char_\d+$|^char_pk_\d+$')) or (db = 'roster' and not regexp_matches(tbl, '^char_uk_\d+$'))""")
 _add("log_txn_markers", lambda s, d: log.markers_to_transactions(messages(s, d, _head).withColumn("source", F.shiftright("log_offset", 44)), "source").select("log_offset", "txn_seq"), f"{_M} select log_offset, sum((rec_type = 5)::int) over (partition by log_offset >> 44 order by log_offset)::bigint as txn_seq from message")
 #: A cluster log made of orders: some four entries for an index, terms that grow with it, and truncations back by some indexes in a newer term.
-_ENTRIES = [(F.floor(F.col("o_orderkey") / 5_000) + F.col("o_orderkey") % 3).alias("term"), F.floor(F.col("o_orderkey") / 4).alias("log_index"), F.when(F.col("o_orderkey") % 97 == 5, F.floor(F.col("o_orderkey") / 4) - F.col("o_orderkey") % 11).alias("rolled_back_to")]
-_add("log_cluster_last_writer", lambda s, d: log.last_writer(table(s, d, "orders").select(*_ENTRIES)), """with e as (select o_orderkey // 5000 + o_orderkey % 3 as term, o_orderkey // 4 as log_index, case when o_orderkey % 97 = 5 then o_orderkey // 4 - o_orderkey % 11 end as r from orders),
+_ENTRIES = ["o_orderkey div 5000 + o_orderkey % 3 as term", "o_orderkey div 4 as log_index", "case when o_orderkey % 97 = 5 then o_orderkey div 4 - o_orderkey % 11 end as rolled_back_to"]
+_add("log_cluster_last_writer", lambda s, d: log.last_writer(table(s, d, "orders").selectExpr(*_ENTRIES)), """with e as (select o_orderkey // 5000 + o_orderkey % 3 as term, o_orderkey // 4 as log_index, case when o_orderkey % 97 = 5 then o_orderkey // 4 - o_orderkey % 11 end as r from orders),
 w as (select log_index, max(term) as term from e where r is null group by 1) select * from w where not exists (select 1 from e where r is not null and w.log_index > e.r and w.term < e.term)""")
 for _name, _desc, _sql in (("log_next_key", False, "min"), ("log_previous_key", True, "max")):
     _add(_name, lambda s, d, desc=_desc: log.neighbour_key(messages(s, d, _keyed), "k", desc), f"{_TOUCH}, v as (select table_id, key, min(log_offset) as first_version, max(log_offset) as last_version from touch where key {'<' if _desc else '>'} 'k' group by all), n as (select table_id, {_sql}(key) as key from v group by 1) select v.* from v join n using (table_id, key)")

@@ -12,7 +12,9 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -379,25 +381,40 @@ def write_rows(kind: int, t: TableMap, rows: list[tuple[list | None, list | None
     return out
 
 
-def events(path: str) -> Iterator[tuple[int, int, int, bytes]]:
-    """(position, timestamp, type, body without checksum) of each event of a file; one event is held at a time. A file cut within an event ends before it."""
+def events(path: str, start: int = 4, bodies=lambda kind: True) -> Iterator[tuple[int, int, int, bytes]]:
+    """(position, timestamp, type, body without checksum) of each event of a file from ``start`` on; one event is held at a time. A file cut within an event ends before it.
+
+    The first event, which says whether there are checksums, is read in any case; what lies between is stepped over. Bodies are read, and
+    checked, of the types ``bodies`` says; others are stepped over by their headers and give an empty body.
+    """
+    size_of = os.path.getsize(path)
     with open(path, "rb") as f:
         if f.read(4) != MAGIC:
             raise BinlogError(f"{path} isn't a binary log")
-        checksum = 0
+        checksum, first = 0, True
         while len(head := f.read(19)) == 19:
             at = f.tell() - 19
             ts, kind, _, size, _, _ = struct.unpack("<IBIIIH", head)
-            body = f.read(size - 19)
-            if len(body) < size - 19:
+            if at + size > size_of:
                 return
-            if kind == FORMAT:
-                checksum = 4 if len(body) > 57 + 5 and body[-5] == 1 else 0
-            if checksum:
-                if zlib.crc32(head + body[:-4]) != int.from_bytes(body[-4:], "little"):
-                    raise BinlogError(f"{path}: checksum at {at}")
-                body = body[:-4]
-            yield at, ts, kind, body
+            body = b""
+            if kind == FORMAT or bodies(kind):
+                body = f.read(size - 19)
+                if len(body) < size - 19:
+                    return
+                if kind == FORMAT:
+                    checksum = 4 if len(body) > 57 + 5 and body[-5] == 1 else 0
+                if checksum:
+                    if zlib.crc32(head + body[:-4]) != int.from_bytes(body[-4:], "little"):
+                        raise BinlogError(f"{path}: checksum at {at}")
+                    body = body[:-4]
+            else:
+                f.seek(at + size)
+            if at >= start:
+                yield at, ts, kind, body
+            if first and start > f.tell():
+                f.seek(start)
+            first = False
 
 
 class Writer:
@@ -445,7 +462,10 @@ def read_query(b: bytes) -> tuple[str, str]:
     return b[13 + status : 13 + status + n].decode(), b[13 + status + n + 1 :].decode("utf-8", "replace")
 
 
-SCHEMA = "log_offset bigint, row_no int, ts timestamp, rec_type int, db string, tbl string, before string, after string, changed array<string>, ddl string"
+SCHEMA = "log_offset bigint, row_no int, ts timestamp, rec_type int, db string, tbl string, before string, after string, changed array<string>, ddl string, query string"
+_ARROW = pa.schema([("log_offset", pa.int64()), ("row_no", pa.int32()), ("ts", pa.timestamp("us", "UTC")), ("rec_type", pa.int32()), *((n, pa.string()) for n in ("db", "tbl", "before", "after")), ("changed", pa.list_(pa.string())), ("ddl", pa.string()), ("query", pa.string())])
+#: Records in one Arrow batch.
+BATCH_ROWS = 10_000
 
 
 def complete(path: str, at: int = 4) -> int:
@@ -461,45 +481,76 @@ def complete(path: str, at: int = 4) -> int:
     return at
 
 
+def _announced(path: str, before: int) -> dict[int, TableMap]:
+    """The tables announced before a place of a file; other events are stepped over."""
+    maps = {}
+    for at, _, kind, body in events(path, bodies=lambda kind: kind == TABLE_MAP):
+        if at >= before:
+            break
+        if kind == TABLE_MAP:
+            t = read_table_map(body)
+            maps[t.table_id] = t
+    return maps
+
+
 def changes(path: str, columns: dict[str, list[str]] | None = None, start: int = 0, end: int = 2**63) -> Iterator[tuple]:
     """The records of a file, as SCHEMA: rows with their images as JSON, BEGIN, COMMIT, ROLLBACK, DDL and heartbeats.
 
-    ``columns``: names of the columns of "db.table"; others are c0, c1, ... A rotation must lead to the next file number. Of events before
-    position ``start`` only the tables they announce are read; those from ``end`` on aren't.
+    ``columns``: names of the columns of "db.table"; others are c0, c1, ... A rotation must lead to the next file number. Reading begins at position ``start``:
+    only if rows come whose table was announced before it, the announcements before it are looked up. What lies from ``end`` on isn't read. ``query`` is the statement that rows come
+    from, where the source logs it.
     """
-    number, maps = file_number(path), {}
+    number, maps, query, looked = file_number(path), {}, None, False
     codes = {"insert": 0, "update": 1, "delete": 2}
     show = lambda row: None if row is None else json.dumps(row, ensure_ascii=False)
-    for at, ts, kind, body in events(path):
+    first = max(4, start & ((1 << 44) - 1)) if start >> 44 == number else 4
+    for at, ts, kind, body in events(path, first):
         offset, when = number << 44 | at, dt.datetime.fromtimestamp(ts, dt.UTC)
         if offset >= end:
             return
-        if offset < start and kind != TABLE_MAP:
-            continue
         if kind == TABLE_MAP:
             t = read_table_map(body)
-            t.columns = (columns or {}).get(f"{t.db}.{t.name}", [])
             maps[t.table_id] = t
+        elif kind == ROWS_QUERY:
+            query = body[1:].decode("utf-8", "replace")
         elif kind in ROWS:
-            t, rows = read_rows(kind, body, maps)
+            if first > 4 and not looked and int.from_bytes(body[:6], "little") not in maps:
+                maps, looked = {**_announced(path, at), **maps}, True
+            t, rows = read_rows(kind, body, _named(maps, columns))
             for k, (before, after) in enumerate(rows):
                 changed = [c for c in after if before.get(c) != after[c]] if before is not None and after is not None else None
-                yield (offset, k, when, codes[ROWS[kind][0]], t.db, t.name, show(before), show(after), changed, None)
+                yield (offset, k, when, codes[ROWS[kind][0]], t.db, t.name, show(before), show(after), changed, None, query)
         elif kind == XID:
-            yield (offset, 0, when, 6, None, None, None, None, None, None)
+            query = None
+            yield (offset, 0, when, 6, None, None, None, None, None, None, None)
         elif kind == QUERY:
+            query = None
             db, text = read_query(body)
             word = text.strip().rstrip(";").upper()
             marker = {"BEGIN": 5, "START TRANSACTION": 5, "COMMIT": 6, "ROLLBACK": 7}.get(word, 4)
-            yield (offset, 0, when, marker, db or None, None, None, None, None, text if marker == 4 else None)
+            yield (offset, 0, when, marker, db or None, None, None, None, None, text if marker == 4 else None, None)
         elif kind == HEARTBEAT:
-            yield (offset, 0, when, 16, None, None, None, None, None, None)
+            yield (offset, 0, when, 16, None, None, None, None, None, None, None)
         elif kind == ROTATE:
             following = file_number(body[8:].decode())
             if following not in (number, number + 1):
                 raise BinlogError(f"{path} goes on with file {following}")
 
 
+def _named(maps: dict[int, TableMap], columns: dict[str, list[str]] | None) -> dict[int, TableMap]:
+    for t in maps.values():
+        if not t.columns:
+            t.columns = (columns or {}).get(f"{t.db}.{t.name}", [])
+    return maps
+
+
+def change_batches(path: str, columns: dict[str, list[str]] | None = None, start: int = 0, end: int = 2**63) -> Iterator[pa.RecordBatch]:
+    """changes() in Arrow batches."""
+    records = changes(path, columns, start, end)
+    while rows := list(islice(records, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
 def seek_timestamp(paths: list[str], ts: int, strict: bool = False) -> tuple[str, int] | None:
     """The file and position of the first event at or after ``ts``: a binary search over the files' first events, then a scan.
 
@@ -544,7 +595,7 @@ class BinlogReader(DataSourceReader):
         return [_File(f, self.start) for f in sorted(files, key=file_number) if file_number(f) >= self.start >> 44]
 
     def read(self, partition: _File):
-        yield from changes(partition.path, self.columns, partition.start, partition.end)
+        yield from change_batches(partition.path, self.columns, partition.start, partition.end)
 
 
 class BinlogStream(DataSourceStreamReader):
