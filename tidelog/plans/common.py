@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.plans.files import remove, remove_at_exit
+
 #: Rows below which one side of a join may be broadcast. It is compared with a real count, never assumed.
 BROADCAST_ROWS = 50_000
 
@@ -20,20 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
+    """A folder that all executors see: spark.checkpoint.dir. Where it is unset a session on one machine gets a temporary one; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder. All paths of an application lie in one folder, which goes when the application ends, or before with clear()."""
+    root = f"{shared_dir(spark)}/tidelog/{spark.sparkContext.applicationId}"
+    remove_at_exit(spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; no result that reads them may be needed any more."""
+    remove(spark, f"{shared_dir(spark)}/tidelog/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

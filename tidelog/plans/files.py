@@ -67,3 +67,10 @@ def numbered_json(spark: SparkSession, folder: str) -> tuple[dict | None, int]:
 def remove(spark: SparkSession, path: str) -> None:
     _, fs, p = _fs(spark, path)
     fs.delete(p, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the driver's JVM ends."""
+    _, fs, p = _fs(spark, path)
+    fs.mkdirs(p)  # only what exists is noted
+    fs.deleteOnExit(p)

@@ -91,7 +91,7 @@ def p6_orphans_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_watermarked, p2_found, p2_recovered, p3_found, p4_found, p5_found, p5_failed_casts, p5_consistent_rows, p5_registry_differences, p6_found, p6_orphans_by_day)}
 
-_MESSAGES = "with msg as (select log_offset, arg_min({'txn_id': txn_id, 'rec_type': rec_type, 'table_meta_id': table_meta_id, 'row_key': row_key, 'old_key': old_key, 'ts': ts}, delivery_id) as m from change_records where log_offset is not null group by log_offset), message as (select log_offset, m.txn_id, m.rec_type, m.table_meta_id, m.row_key, m.old_key, m.ts from msg)"
+_MESSAGES = "with msg as (select log_offset, arg_min({'record_id': record_id, 'txn_id': txn_id, 'rec_type': rec_type, 'table_meta_id': table_meta_id, 'row_key': row_key, 'old_key': old_key, 'ts': ts}, delivery_id) as m from change_records where log_offset is not null group by log_offset), message as (select log_offset, m.record_id, m.txn_id, m.rec_type, m.table_meta_id, m.row_key, m.old_key, m.ts from msg)"
 
 _REPLAY = """{messages},
 txn as (select txn_id, min(log_offset) as first_offset, min(log_offset) filter (rec_type = 6) as commit_offset, min(log_offset) filter (rec_type = 7) as rollback_offset from message where txn_id is not null group by txn_id),
