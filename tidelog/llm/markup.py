@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 _DEFINITION = re.compile(r"\\(?:re)?newcommand\*?\s*\{?\\([A-Za-z]+)\}?\s*(\[\d\])?(?:\[[^\]]*\])?\s*(?=\{)|\\(?:g|e|x)?def\s*\\([A-Za-z]+)((?:#\d)*)\s*(?=\{)")
 _NOTE = re.compile(r"\\(?:footnote|footnotetext|marginpar|thanks|todo|endnote)\s*(?:\[[^\]]*\])?(?=\{)")
+_DEFINING = ("\\newcommand", "\\renewcommand", "\\def", "\\gdef", "\\edef", "\\xdef")
+_NOTING = ("\\footnote", "\\marginpar", "\\thanks", "\\todo", "\\endnote")
 _BRACE = re.compile(r"\\.|[{}]", re.S)
 _POINTER = re.compile(r"~?\\(?:cite[a-z]*|ref|eqref|pageref|autoref|label|input|include|subfile|bibliography|index)\*?\s*(?:\[[^\]]*\]){0,2}\s*\{[^{}]*\}")
 _COMMENT = re.compile(r"(?<!\\)%[^\n]*")
@@ -50,7 +52,7 @@ def cut(text: str, head: re.Pattern, keep: Callable[[re.Match, str], str]) -> st
 
 def notes_apart(text: str) -> list[str]:
     """The running text without notes, then each note without the notes inside it; one pass, whatever the depth."""
-    heads = list(_NOTE.finditer(text)) if "\\" in text else []
+    heads = list(_NOTE.finditer(text)) if any(word in text for word in _NOTING) else []
     if not heads:
         return [text]
     pairs = braces(text)
@@ -81,7 +83,7 @@ def notes_apart(text: str) -> list[str]:
 
 def macros(text: str) -> tuple[str, dict[str, str]]:
     """The text without the definitions of its own commands, and the wording of those without arguments."""
-    if "\\newcommand" not in text and "def" not in text and "\\renewcommand" not in text:
+    if not any(word in text for word in _DEFINING):
         return text, {}
     found: dict[str, str] = {}
 
@@ -192,5 +194,7 @@ def prose(text: str) -> str:
     text = _HIDDEN.sub(" ", text)
     text = _MATH.sub(" ", text)
     text = cut(text, _TITLES, lambda m, body: " ")
-    text = cut(expand(text, found), _NOTE, lambda m, body: " ")
+    text = expand(text, found)
+    if any(word in text for word in _NOTING):
+        text = cut(text, _NOTE, lambda m, body: " ")
     return _flat(_POINTER.sub("", text))

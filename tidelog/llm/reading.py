@@ -34,10 +34,13 @@ class Languages:
 
     def english(self, words: list[str]) -> bool:
         """Whether a text is likelier in English than in any other language known, and enough of its words are known in it."""
-        at = [k for k in map(self.place.get, words) if k is not None]
-        if not at or self.known[at, 0].sum() < KNOWN_SHARE * len(words):
+        return self.english_at(np.array([k for k in map(self.place.get, words) if k is not None], np.int64), len(words))
+
+    def english_at(self, places: np.ndarray, n_words: int) -> bool:
+        """english() of a text by the places of its known words."""
+        if not len(places) or np.count_nonzero(self.known[places, 0]) < KNOWN_SHARE * n_words:
             return False
-        return int(self.rates[at].sum(axis=0).argmax()) == 0
+        return int(self.rates[places].sum(axis=0).argmax()) == 0
 
 
 @dataclass(frozen=True)
@@ -51,10 +54,13 @@ class Model:
 
 def features(words: list[str], grades: dict[str, float]) -> np.ndarray:
     """Quantiles and mean of the grades of the known words; zeros without any."""
-    known = np.array([g for g in map(grades.get, words) if g is not None])
+    return summary(np.array([g for g in map(grades.get, words) if g is not None]))
+
+
+def summary(known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(QUANTILES) + 1)
-    known.sort()
+    known = np.sort(known)
     at = QUANTILES * (len(known) - 1)
     low = at.astype(int)
     high = np.minimum(low + 1, len(known) - 1)
@@ -86,20 +92,41 @@ def predict(x: np.ndarray, model: Model) -> np.ndarray:
     return (z @ model.weights).argmax(axis=1) + 1
 
 
-def _prose(batches, least: int, languages: Languages | None = None):
-    """The words of the prose of each text with at least ``least`` of them; with ``languages`` only of those in English. Further columns stay."""
+def _prose(batches, least: int):
+    """The words of the prose of each text with at least ``least`` of them. Further columns stay."""
     for batch in batches:
         rows = [(k, markup.words(markup.prose(text))) for k, text in enumerate(batch.column("text").to_pylist())]
-        kept = [(k, w) for k, w in rows if len(w) >= least and (languages is None or languages.english(w))]
+        kept = [(k, w) for k, w in rows if len(w) >= least]
         rest = batch.drop_columns(["text"]).take(pa.array([k for k, _ in kept], pa.int64()))
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([w for _, w in kept], pa.list_(pa.string()))], [*rest.schema.names, "words"])
 
 
 def _graded(batches, model: Model, least: int):
-    for batch in _prose(batches, least, model.languages):
-        rows = [features(words, model.grades) for words in batch.column("words").to_pylist()]
+    # every word is looked up once: its place among the words of the languages, and by that its grade
+    place = model.languages.place
+    grade = np.full(len(place), np.nan)
+    rest = {}
+    for word, g in model.grades.items():
+        if word in place:
+            grade[place[word]] = g
+        else:
+            rest[word] = g
+    for batch in batches:
+        ids, rows = [], []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = markup.words(markup.prose(text))
+            if len(words) < least:
+                continue
+            at = np.array([k for k in map(place.get, words) if k is not None], np.int64)
+            if model.languages.english_at(at, len(words)):
+                known = grade[at]
+                known = known[~np.isnan(known)]
+                if rest:
+                    known = np.append(known, [rest[w] for w in words if w in rest])
+                ids.append(doc)
+                rows.append(summary(known))
         band = predict(np.array(rows), model) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(band.astype(np.int64))], ["doc_id", "band"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band.astype(np.int64))], ["doc_id", "band"])
 
 
 def agreed_bands(labels: DataFrame) -> DataFrame:
