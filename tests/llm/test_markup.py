@@ -53,6 +53,17 @@ def test_notes_and_braces_of_any_depth(depth):
 
 
 @pytest.mark.parametrize("n", [10, 400, 5_000])
+def test_braces_are_paired_alike_near_and_far():
+    import random
+
+    rng = random.Random(6)
+    for n in (20, 300, 9_000):
+        text = "".join(rng.choice(["{", "}", "a", "\\{", "\\\\"]) for _ in range(n)) + "}" * (n // 7)
+        close, pairs = m.closer(text), m.braces(text)
+        opened = [m_.start() for m_ in m._BRACE.finditer(text) if m_[0] == "{"]
+        assert [close(at) for at in opened] == [pairs.get(at) for at in opened]
+
+
 def test_formulas_of_any_length(n):
     assert m.words(m.prose("this $" + "x + alpha " * (n // 10) + "$ is prose")) == ["this", "is", "prose"]
     assert m.words(m.prose("it costs 5 $ there\n\nand more $ here")) == "it costs 5 there and more here".split()

@@ -36,14 +36,41 @@ def braces(text: str) -> dict[int, int]:
     return out
 
 
+def closer(text: str) -> Callable[[int], int | None]:
+    """A function that gives the place of the brace that closes the one at a place, or None.
+
+    It looks behind the place asked for; where that is long, nested often, or not closed at all, all braces are paired once instead.
+    """
+    pairs: dict[int, int] | None = None
+    steps = 0
+
+    def close(at: int) -> int | None:
+        nonlocal pairs, steps
+        if pairs is None:
+            depth = 0
+            for m in _BRACE.finditer(text, at):
+                steps += 1
+                if m[0] == "{":
+                    depth += 1
+                elif m[0] == "}":
+                    depth -= 1
+                    if not depth:
+                        return m.start()
+                if steps > 5_000:
+                    break
+            pairs = braces(text)
+        return pairs.get(at)
+
+    return close
+
+
 def cut(text: str, head: re.Pattern, keep: Callable[[re.Match, str], str]) -> str:
     """The text with each command that ``head`` finds, and the group in braces behind it, replaced by ``keep``(match, body). A group that isn't closed stays."""
-    pairs, out, at = None, [], 0
+    close, out, at = closer(text), [], 0
     for m in head.finditer(text):
         if m.start() < at:
             continue  # inside a group taken before
-        pairs = braces(text) if pairs is None else pairs
-        end = pairs.get(m.end())
+        end = close(m.end())
         if end is not None:
             out += [text[at : m.start()], keep(m, text[m.end() + 1 : end])]
             at = end + 1
@@ -55,7 +82,7 @@ def notes_apart(text: str) -> list[str]:
     heads = list(_NOTE.finditer(text)) if any(word in text for word in _NOTING) else []
     if not heads:
         return [text]
-    pairs = braces(text)
+    close = closer(text)
     running: list[str] = []
     found, at = [running], 0
     inside: list[tuple[list[str], int]] = [(running, len(text) + 1)]
@@ -68,7 +95,7 @@ def notes_apart(text: str) -> list[str]:
             at = end + 1
 
     for m in heads:
-        end = pairs.get(m.end())
+        end = close(m.end())
         if end is None:
             continue
         leave(m.start())
