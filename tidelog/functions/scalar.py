@@ -1,7 +1,8 @@
-"""Operators and scalar functions of the shell as column expressions, all JVM-side."""
+"""Operators and scalar functions of the shell as column expressions, JVM-side but for character sets that the JVM side doesn't offer (Arrow batches)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +71,49 @@ def field(value: Column, *among: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*among), value), F.lit(0)).cast("long")
 
 
+#: The source's names of character sets, as those of the built-in decoder and of Python.
+JVM_CHARSETS = {"utf8": "UTF-8", "utf8mb3": "UTF-8", "utf8mb4": "UTF-8", "utf16": "UTF-16BE", "utf16le": "UTF-16LE", "utf32": "UTF-32", "ucs2": "UTF-16BE", "ascii": "US-ASCII", "latin1": "ISO-8859-1"}
+OTHER_CHARSETS = {"gbk": "gbk", "gb2312": "gb2312", "gb18030": "gb18030", "big5": "big5", "sjis": "shift_jis", "cp932": "cp932", "ujis": "euc_jp", "euckr": "euc_kr", "cp1250": "cp1250", "cp1251": "cp1251", "koi8r": "koi8_r"}
+
+
+def decode_charset(value: Column, charset: str) -> Column:
+    """The text of bytes in a character set; bytes that are none in it become U+FFFD."""
+    name = charset.lower()
+    if name not in OTHER_CHARSETS:
+        return F.decode(value, JVM_CHARSETS.get(name, charset))
+    codec = OTHER_CHARSETS[name]
+
+    @F.pandas_udf("string")
+    def run(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode(codec, "replace"), na_action="ignore")
+
+    return run(value)
+
+
+def encode_charset(value: Column, charset: str) -> Column:
+    """The bytes of a text in a character set; characters it lacks become ?."""
+    name = charset.lower()
+    if name not in OTHER_CHARSETS:
+        return F.encode(value, JVM_CHARSETS.get(name, charset))
+    codec = OTHER_CHARSETS[name]
+
+    @F.pandas_udf("binary")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: t.encode(codec, "replace"), na_action="ignore")
+
+    return run(value)
+
+
 def char_length(value: Column, charset: str | None = None) -> Column:
     """Characters of a text, or of bytes in ``charset``."""
-    return F.char_length(F.decode(value, charset) if charset else value)
+    return F.char_length(decode_charset(value, charset) if charset else value)
+
+
+def compare_text(a: Column, b: Column, case_sensitive: bool = False) -> Column:
+    """-1, 0 or 1 as ``a`` sorts before, like or behind ``b``; without regard to letter case unless ``case_sensitive``. Null if one is null."""
+    order = "UTF8_BINARY" if case_sensitive else "UTF8_LCASE"
+    x, y = F.collate(a, order), F.collate(b, order)
+    return F.when(x < y, -1).when(x == y, 0).when(x > y, 1)
 
 
 def ascii_code(value: Column) -> Column:
@@ -82,7 +123,7 @@ def ascii_code(value: Column) -> Column:
 
 def convert_charset(value: Column, source: str, target: str) -> Column:
     """Bytes in one character set as bytes in another."""
-    return F.encode(F.decode(value, source), target)
+    return encode_charset(decode_charset(value, source), target)
 
 
 def pack_offset(file_number: Column, position: Column) -> Column:

@@ -70,7 +70,11 @@ _FUNCTIONS = {
     "char_length": ("part", "p_partkey", lambda: scalar.char_length(F.col("p_name")).cast("long"), "length(p_name)"),
     "char_length_utf16": ("part", "p_partkey", lambda: scalar.char_length(scalar.convert_charset(F.encode("p_name", "UTF-8"), "UTF-8", "UTF-16LE"), "UTF-16LE").cast("long"), "length(p_name)"),
     "field": ("customer", "c_custkey", lambda: scalar.field(F.col("c_mktsegment"), F.lit("BUILDING"), F.lit("MACHINERY"), F.lit("HOUSEHOLD")), "coalesce(list_position(['BUILDING', 'MACHINERY', 'HOUSEHOLD'], c_mktsegment), 0)::bigint"),
-    "compare_nocase": ("customer", "c_custkey", lambda: F.lower("c_mktsegment") == F.lower(F.lit("Building")), "lower(c_mktsegment) = 'building'"),
+    "char_length_gbk": ("customer", "c_custkey", lambda: scalar.char_length(scalar.encode_charset(F.concat("c_name", F.lit("数据流é")), "gbk"), "gbk").cast("long"), "length(c_name || '数据流é')"),
+    "char_length_sjis": ("customer", "c_custkey", lambda: scalar.char_length(scalar.encode_charset(F.concat("c_name", F.lit("潮の流れ")), "sjis"), "sjis").cast("long"), "length(c_name || '潮の流れ')"),
+    "char_length_ujis": ("customer", "c_custkey", lambda: scalar.char_length(scalar.convert_charset(F.encode(F.concat("c_name", F.lit("潮の流れ")), "UTF-8"), "utf8mb4", "ujis"), "ujis").cast("long"), "length(c_name || '潮の流れ')"),
+    "compare_nocase": ("customer", "c_custkey", lambda: scalar.compare_text(F.col("c_mktsegment"), F.lit("Building")) == 0, "lower(c_mktsegment) = 'building'"),
+    "compare_order": ("nation", "n_nationkey", lambda: scalar.compare_text(F.col("n_name"), F.lit("jAPAN")), "(case when lower(n_name) < 'japan' then -1 when lower(n_name) = 'japan' then 0 else 1 end)::int"),
     "now": ("region", "r_regionkey", lambda: F.current_timestamp().isNotNull(), "now() is not null"),
     "offset_pack": ("orders", "o_orderkey", lambda: scalar.pack_offset(F.col("o_custkey"), F.col("o_orderkey")), "o_custkey * 17592186044416 + o_orderkey"),
     "enum": ("part", "p_partkey", lambda: scalar.enum_value(F.col("p_size") % 5, F.array(F.lit("low"), F.lit("mid"), F.lit("high"))), "case p_size % 5 when 0 then '' when 1 then 'low' when 2 then 'mid' when 3 then 'high' end"),
