@@ -70,6 +70,7 @@ def test_files_become_changes(spark, log):
     assert found[5].ddl == "ALTER TABLE t ADD x int"
     later = spark.read.format("tidelog_binlog").option("path", f"{log}/bin.*").option("startingOffset", found[4].log_offset).load()
     assert later.count() == 6
+    assert spark.read.format("tidelog_binlog").option("path", f"{log}/bin.*").option("startingOffset", 9 << 44).load().count() == 0
 
 
 def test_files_are_followed_as_they_grow(spark, log, tmp_path):

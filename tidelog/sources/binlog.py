@@ -590,11 +590,16 @@ class BinlogReader(DataSourceReader):
         self.columns = json.loads(options.get("columns", "{}"))
         self.start = int(options.get("startingoffset") or 0)
 
-    def partitions(self):
+    def files(self) -> list[_File]:
         files = [f for f in glob.glob(self.path) if re.search(r"\d+$", f)]
         return [_File(f, self.start) for f in sorted(files, key=file_number) if file_number(f) >= self.start >> 44]
 
+    def partitions(self):
+        return self.files() or [_File("")]  # no file is as late as asked for
+
     def read(self, partition: _File):
+        if not partition.path:
+            return
         yield from change_batches(partition.path, self.columns, partition.start, partition.end)
 
 
@@ -608,11 +613,11 @@ class BinlogStream(DataSourceStreamReader):
         return {"position": self.reader.start}
 
     def latestOffset(self):  # noqa: N802
-        files = self.reader.partitions()
+        files = self.reader.files()
         return {"position": file_number(files[-1].path) << 44 | complete(files[-1].path)} if files else self.initialOffset()
 
     def partitions(self, start, end):
-        inside = [f.path for f in self.reader.partitions() if start["position"] >> 44 <= file_number(f.path) <= end["position"] >> 44]
+        inside = [f.path for f in self.reader.files() if start["position"] >> 44 <= file_number(f.path) <= end["position"] >> 44]
         return [_File(f, start["position"], end["position"]) for f in inside]
 
     def read(self, partition: _File):
