@@ -27,21 +27,22 @@ def transactions(messages: DataFrame) -> DataFrame:
     )
 
 
-def first_gap(messages: DataFrame, sequence: str = "record_id", bucket_rows: int = 65_536) -> DataFrame:
+def first_gap(messages: DataFrame, sequence: str = "record_id", bucket_rows: int = 32_768) -> DataFrame:
     """The offset of the last message before the first missing number of a dense ``sequence``, as one row (held_after); no row where nothing is missing.
 
-    Numbers are counted by buckets first, so that only the earliest bucket that lacks one is looked into: no global sort or window, and nothing grows
-    with the width of a gap. A number shows a gap if its successor is missing and it isn't the last.
+    Numbers are counted as bits of buckets (of at most 32,768), combined map-side, so that only the earliest bucket that lacks one is looked into: no number is
+    shuffled but those of that bucket, and nothing grows with the width of a gap.
     """
-    numbered = messages.filter(F.col(sequence).isNotNull()).groupBy(F.col(sequence).alias("_n")).agg(F.max("log_offset").alias("_at"))
-    numbered = numbered.withColumn("_bucket", F.floor(F.col("_n") / bucket_rows).cast("long"))
-    per = numbered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("have"), F.min("_n").alias("lo"), F.max("_n").alias("hi"))
-    per = materialize(per, "sequence")  # one row for each bucket_rows numbers, read twice
+    numbered = messages.filter(F.col(sequence).isNotNull()).select(F.col(sequence).alias("_n"), "log_offset", F.floor(F.col(sequence) / bucket_rows).cast("long").alias("_bucket"))
+    bits = F.bitmap_count(F.bitmap_construct_agg(F.col("_n") - F.col("_bucket") * bucket_rows))
+    per = numbered.groupBy("_bucket").agg(bits.alias("have"), F.min("_n").alias("lo"), F.max("_n").alias("hi"))
+    per = materialize(per, "sequence")  # one row for each bucket, read twice
     following = per.select((F.col("_bucket") - 1).alias("_bucket"), F.col("lo").alias("next_lo"))
     # a bucket lacks a number inside, or the one after its last; the very last number lacks its successor too, and is told by _greatest
     lacks = (F.col("hi") - F.col("lo") + 1 > F.col("have")) | F.col("next_lo").isNull() | (F.col("next_lo") > F.col("hi") + 1)
     near = per.join(following, "_bucket", "left").agg(F.min(F.when(lacks, F.col("_bucket"))).alias("_bucket"), F.max("hi").alias("_greatest"))
-    local = materialize(numbered.join(F.broadcast(near), "_bucket"), "bucket")  # one row is broadcast, one bucket is left, read twice
+    local = numbered.join(F.broadcast(near), "_bucket").groupBy("_n", "_greatest").agg(F.max("log_offset").alias("_at"))
+    local = materialize(local, "bucket")  # one row is broadcast, one bucket is left, read twice
     successor = local.select((F.col("_n") - 1).alias("_n"), F.lit(True).alias("_next"))
     held = local.join(successor, "_n", "left").filter(F.col("_next").isNull() & F.col("_greatest").isNotNull())
     return held.agg(F.min_by("_at", "_n").alias("held_after"), F.min("_n").alias("_n"), F.max("_greatest").alias("_greatest")).filter("_n < _greatest").select("held_after")
