@@ -18,7 +18,7 @@ QUANTILES = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 SAMPLE_DOCUMENTS = 20_000
 
 #: Documents of each language that its words are learnt from, at most (likewise).
-LANGUAGE_DOCUMENTS = 2_000
+LANGUAGE_DOCUMENTS = 500
 #: Least share of a text's words that must be known in a language for the text to be in it.
 KNOWN_SHARE = 0.25
 
