@@ -190,7 +190,7 @@ class IncrementalRun:
         new = fresh if seen is None else self._same(fresh, seen, "left_anti", ["consumer_id", *self.keys])
         out = process(new.drop("_bucket")).withColumns({"batch": F.lit(batch["batch"]), "_bucket": self.bucket})
         sink = f"sink/{attempt}"
-        out.write.partitionBy("_bucket").parquet(f"{self.root}/{sink}")
+        out.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{sink}")  # whole files for each bucket, hot ones split
         if fail_after == "sink":
             raise RuntimeError("stopped before the commit mark")
         buckets = [n.split("=", 1)[1] for n in list_names(self.spark, f"{self.root}/{sink}") if n.startswith("_bucket=")]
