@@ -105,6 +105,15 @@ def test_copies_are_written_once(spark, tmp_path):
     assert sunk(run) == {(1, 1): 1, (None, None): 1, (2, 9): 2}
 
 
+def test_buckets_of_any_name(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    run = incremental.IncrementalRun(spark, str(tmp_path), ("name",), "position", bucket=F.col("name"))
+    made = lambda at: spark.createDataFrame([(at + k, n) for k, n in enumerate(["a/b:c %", "", None, "x=1"])], "position long, name string")
+    assert [run.run(made(1)), run.run(made(1).unionAll(made(11)))] == [1, 2]
+    assert {(r.name, r.batch) for r in run.sink().collect()} == {("a/b:c %", 1), ("", 1), (None, 1), ("x=1", 1)}
+
+
 def test_records_that_land_late_come_in_the_next_batch(spark, tmp_path):
     run = runner(spark, tmp_path)
     first = log(spark, ("a", 1, 5, 1), ("a", 2, 9, 2), ("b", 1, 7, 3))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -77,7 +78,7 @@ class IncrementalRun:
     def __init__(self, spark: SparkSession, root: str, keys: tuple[str, ...] = ("record_id", "log_offset"), position: str = "delivery_id", partition: Column | None = None, bucket: Column | None = None):
         self.spark, self.root, self.keys, self.position = spark, root.rstrip("/"), list(keys), position
         self.part = F.lit("") if partition is None else F.coalesce(partition.cast("string"), F.lit(""))
-        self.bucket = F.lit("0") if bucket is None else F.coalesce(bucket.cast("string"), F.lit("none"))
+        self.bucket = F.lit("0") if bucket is None else F.coalesce(F.nullif(bucket.cast("string"), F.lit("")), F.lit("none"))
 
     def adopt(self, ranges: DataFrame, consumers: DataFrame) -> None:
         """Take over consumers (consumer_id) with the ranges their earlier runs have processed (consumer_id, lo, hi and, with several partitions, part).
@@ -161,7 +162,7 @@ class IncrementalRun:
         done = self._commits()
         if done:
             touched = {r._bucket for r in fresh.select("_bucket").distinct().collect()}  # names of buckets
-            paths = [f"{self.root}/{c['sink']}/_bucket={b}" for c in done.values() for b in c["buckets"] if b in touched]
+            paths = [f"{self.root}/{c['sink']}/_bucket={b}" for c in done.values() for b in c["buckets"] if unquote(b) in touched]
             if paths:
                 frames.append(self.spark.read.schema(fresh.select(*known).schema).parquet(*paths))
         adopted, ends = self._adopted()
