@@ -99,3 +99,19 @@ def test_duplicates_against_brute_force(spark, tmp_path):
     for d, o, *_ in deliveries:
         first[o] = min(first.get(o, d), d)
     assert found == {d for d, o, *_ in deliveries if d != first[o]}
+
+
+def test_what_a_count_finds_large_is_never_broadcast(spark, tmp_path, monkeypatch):
+    """Compressed files of many rows look small to Spark, which would gather them in the driver."""
+    n, plans = 60_000, []
+    messages = spark.range(n).select(F.col("id").alias("log_offset"), F.lit("d").alias("day"), F.lit(1).cast("long").alias("record_id"), F.lit("x").alias("note"))
+    load = lambda *copies: messages.withColumn("delivery_id", F.explode(F.array(*(F.col("log_offset") + c * n for c in copies)))).select("delivery_id", "log_offset", "day", "record_id", "note")
+    store, kind = DeliveryStore(spark, str(tmp_path), F.col("day"), bucket=F.shiftright("log_offset", 44)), type(messages)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: (collect(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    lost = [store.merge(load(0, 1)), store.merge(load(2))]
+    for k, df in enumerate(lost):
+        assert df.agg(F.count("*"), F.min("delivery_id"), F.max("delivery_id")).collect() == [(n, (k + 1) * n, (k + 2) * n - 1)]
+    assert sum("SortMergeJoin" in p for p in plans) == 3
+    assert not any("Broadcast" in p for p in plans)
+    assert store.rows().count() == n

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelog.plans.common import lookup_join
+from tidelog.plans.common import is_small, lookup_join
 from tidelog.plans.files import list_names, numbered_json, put_once, remove
 
 #: Fragments of an index bucket above which a merge writes them as one.
@@ -73,6 +73,7 @@ class DeliveryStore:
             touched = [r._bucket for r in incoming.select("_bucket").distinct().collect()]  # names of buckets
             index = self.index(touched)
             if index is not None:
+                index = F.broadcast(index) if is_small(index) else index.hint("merge")  # by a count: its compressed files look small for their rows
                 known = incoming.select(key).join(index, key).select("_stored").distinct()  # copies of one message: the streamed side, which AQE splits
                 affected = sorted(r._stored for r in known.collect() if r._stored in m["parts"])  # names of partitions
         rows = incoming.withColumn("_stored", F.lit(None).cast("string"))

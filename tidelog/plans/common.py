@@ -67,12 +67,13 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salt
 
     The lookup is broadcast when a count proves it small. Otherwise both sides are shuffled, the left spread over
     ``salts`` by ``salt`` and the lookup repeated for each, so that a key with a third of all rows keeps no task busy.
+    The hint keeps Spark from broadcasting it all the same: it estimates from the size of compressed files and doesn't count the repetitions.
     """
     if is_small(right, rows):
         return left.join(F.broadcast(right), on, how)
     left = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def counting_messages(changes: DataFrame, columns: list[str], key: str = "log_offset", order: str = "delivery_id") -> DataFrame:
