@@ -1,7 +1,10 @@
 import json
 
+import pyarrow as pa
 import pytest
 
+from tests.oracle import assert_same, connect
+from tidelog.queries import binlog as Q
 from tidelog.sources import binlog as B
 
 KINDS = [
@@ -147,3 +150,22 @@ def test_the_statement_behind_rows(tmp_path):
     w.close()
     assert [(r[3], r[10]) for r in B.changes(str(tmp_path / "q.000001"))] == [(0, text.decode()), (6, None), (0, None)]
     assert [b.num_rows for b in B.change_batches(str(tmp_path / "q.000001"))] == [3]
+
+
+@pytest.fixture
+def fresh(spark):
+    """A session in which no source is registered."""
+    sessions, own = spark._jvm.org.apache.spark.sql.classic.SparkSession, spark.newSession()
+    sessions.setActiveSession(own._jsparkSession)
+    yield own
+    sessions.setActiveSession(spark._jsparkSession)
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_queries_are_the_first_of_their_session(fresh, data, name):
+    assert_same(Q.QUERIES[name](fresh, data), connect(data), Q.SQL[name])
+
+
+def test_a_message_counts_once_across_batches():
+    batches = [pa.record_batch({"log_offset": at, "kept": kept}) for at, kept in (([1, 1, 2], [True, True, False]), ([2, 2, 3], [True, True, True]))]
+    assert [b["log_offset"].to_pylist() for b in Q._first_deliveries(iter(batches))] == [[1], [3]]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from tidelog.plans.common import DML, scratch, table
-from tidelog.queries.log import _M, _MID, messages
+from tidelog.queries.log import _M, _MID
 from tidelog.sources import binlog as B
 
 QUERIES: dict = {}
@@ -18,34 +20,53 @@ _IMAGE = "struct<at: bigint, a: int, b: int, c: string, d: int, f: timestamp_ntz
 _KINDS = ([B.LONGLONG, B.LONG, B.LONG, B.VARCHAR, B.LONG, B.DATETIME2], [(), (), (), (400,), (), (6,)])
 
 
-def _values(at: int, image: dict) -> list:
-    f = image["f"]
-    return [at, image["a"], image["b"], image["c"], image["d"], None if f is None else f.strftime("%Y-%m-%d %H:%M:%S.%f")]
+def _first_deliveries(batches):
+    """Of rows in the order of their places the first of each place, if it is kept."""
+    last = None
+    for batch in batches:
+        at = batch.column("log_offset").to_numpy()
+        if len(at):
+            first = np.concatenate([[at[0] != last], at[1:] != at[:-1]])
+            last = at[-1]
+            yield batch.filter(pc.and_(pa.array(first), batch.column("kept")))
+
+
+def _images(at: list, images: pa.StructArray) -> list:
+    """The values of each image as a row of the log's tables, None where there is none."""
+    fields = {f.name: c for f, c in zip(images.type, images.flatten(), strict=True)}
+    fields["f"] = fields["f"].cast(pa.timestamp("us")).cast(pa.string())
+    values = zip(at, *(fields[c].to_pylist() for c in _COLUMNS[1:]), strict=True)
+    return [list(v) if there else None for v, there in zip(values, images.is_valid().to_pylist(), strict=True)]
 
 
 def _write_changes(batches, root: str):
-    """Files of a log from its messages in order, those of a file side by side."""
-    writer, number = None, None
-    for batch in batches:
-        for r in batch.to_pylist():
-            file = r["log_offset"] >> 44
+    """Files of a log from the deliveries of its messages in order, those of a file side by side."""
+    writer, number, tables = None, None, {}
+    for batch in _first_deliveries(batches):
+        offsets = batch.column("log_offset").to_pylist()
+        columns = [batch.column(c).to_pylist() for c in ("second", "txn_id", "rec_type", "db", "tbl", "table_id")]
+        images = [_images(offsets, batch.column(c)) for c in ("before_img", "after_img")]
+        for at, ts, txn_id, rec_type, db, tbl, table_id, before, after in zip(offsets, *columns, *images, strict=True):
+            file = at >> 44
             if file != number:
                 if writer:
                     writer.rotate(f"bin.{number + 1:06d}")
                     writer.close()
                 writer, number = B.Writer(f"{root}/bin.{file:06d}"), file
-            ts = int(r["ts"].timestamp()) if r["ts"] is not None else 0
-            before, after = (None if r[i] is None else _values(r["log_offset"], r[i]) for i in ("before_img", "after_img"))
-            if r["rec_type"] in DML:
+            if rec_type in DML:
                 if before or after:
                     kind = 31 if before and after else 30 if after else 32
-                    t = B.TableMap(r["table_id"], r["db"], r["tbl"], *_KINDS)
-                    writer.rows(ts, kind, t, [(before, after)])
-            elif r["rec_type"] in (5, 7):
-                writer.query(ts, r["db"] or "", {5: "BEGIN", 7: "ROLLBACK"}[r["rec_type"]])
-            elif r["rec_type"] == 6:
-                writer.commit(ts, r["txn_id"] or 0)
-            elif r["rec_type"] == 16:
+                    if (key := (table_id, db, tbl)) not in tables:
+                        t = B.TableMap(*key, *_KINDS)
+                        tables[key] = t, B.write_table_map(t)
+                    t, announcement = tables[key]
+                    writer.event(B.TABLE_MAP, ts, announcement)
+                    writer.event(kind, ts, B.write_rows(kind, t, [(before, after)]))
+            elif rec_type in (5, 7):
+                writer.query(ts, db or "", {5: "BEGIN", 7: "ROLLBACK"}[rec_type])
+            elif rec_type == 6:
+                writer.commit(ts, txn_id or 0)
+            elif rec_type == 16:
                 writer.event(B.HEARTBEAT, ts, b"beat")
         yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
     if writer:
@@ -64,11 +85,16 @@ def _folder(spark, name: str) -> str:
 def _log(spark, sf_dir) -> tuple[str, str]:
     """The test log as binary log files, one for each file of the source: their pattern and the names of columns by table."""
     root = _folder(spark, "binlog")
-    log = messages(spark, sf_dir, ["ts", "txn_id", "rec_type", "db", "tbl", "table_meta_id", "before_img", "after_img"])
-    log = log.withColumns({"table_id": F.shiftright("table_meta_id", 16), "file": F.shiftright("log_offset", 44)}).filter("rec_type <> 4 and (rec_type > 3 or table_meta_id is not null and db is not null and tbl is not null)")
-    ordered = log.repartition("file").sortWithinPartitions("log_offset").drop("file", "table_meta_id")  # a log file is one sequence
-    ordered.mapInArrow(lambda b: _write_changes(b, root), "n bigint").agg(F.sum("n")).collect()
-    names = log.filter("tbl is not null and db is not null").select("db", "tbl").distinct().collect()  # one row for each table
+    deliveries = table(spark, sf_dir, "change_records").filter("log_offset is not null")
+    # a log file is one sequence; its messages count as in counting_messages, told from their copies by the order that the file needs anyway
+    content = ["ts", "txn_id", "rec_type", "db", "tbl", "table_meta_id", "before_img", "after_img"]
+    late = F.coalesce("delivery_id", F.lit(2**63 - 1))
+    ordered = deliveries.select("log_offset", late.alias("late"), *content).repartition(F.shiftright("log_offset", 44)).sortWithinPartitions("log_offset", "late", *content)
+    kept = F.expr("coalesce(rec_type <> 4 and (rec_type > 3 or table_meta_id is not null and db is not null and tbl is not null), false)")
+    second = F.coalesce(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(0))
+    written = ordered.select("log_offset", second.alias("second"), "txn_id", "rec_type", "db", "tbl", F.shiftright("table_meta_id", 16).alias("table_id"), "before_img", "after_img", kept.alias("kept"))
+    written.mapInArrow(lambda b: _write_changes(b, root), "n bigint").agg(F.sum("n")).collect()
+    names = deliveries.filter("tbl is not null and db is not null").select("db", "tbl").distinct().collect()  # one row for each table
     return f"{root}/bin.*", json.dumps({f"{r.db}.{r.tbl}": _COLUMNS for r in names})
 
 
@@ -111,6 +137,7 @@ def binlog_stream(spark, sf_dir):
     """The files followed as a stream."""
     path, columns = _log(spark, sf_dir)
     root = scratch(spark, "binlog-stream")
+    B.register(spark)
     rows = spark.readStream.format("tidelog_binlog").option("path", path).option("columns", columns).load()
     rows.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").trigger(once=True).start().awaitTermination()
     return _told(spark.read.schema(B.SCHEMA).parquet(f"{root}/out")).select("log_offset", "rec_type", "tbl", "new_d")
